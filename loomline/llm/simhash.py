@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     linked = own.join(label, "fp")
     whole = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     moved = linked.join(whole, "component").select("fp", "component_id")
-    ids = own.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    # written first, so that nothing but the join below is done where many documents share a fingerprint and it can be split
+    ids = stored(own.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "ids")
     out = each.join(ids, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
