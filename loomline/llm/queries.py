@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, mixing, packing, quality, simhash, topk
+from . import html_extract, language_id, lm_scoring, mixing, packing, pii, quality, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.calibrated(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_language_id, op2_source_mixing, op6_quality_rules, op7_best_fit_packing, op8_html_extraction, op9_exact_topk, op10_simhash)
+QUERIES = (op1_language_id, op2_source_mixing, op3_pii, op4_lm_scoring, op6_quality_rules, op7_best_fit_packing, op8_html_extraction, op9_exact_topk, op10_simhash)
 
 
 def queries() -> dict:
