@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, lm_scoring, mixing, packing, pii, quality, simhash, topk
+from . import html_extract, language_id, line_dedup, lm_scoring, mixing, packing, pii, quality, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_language_id, op2_source_mixing, op3_pii, op4_lm_scoring, op6_quality_rules, op7_best_fit_packing, op8_html_extraction, op9_exact_topk, op10_simhash)
+QUERIES = (op1_language_id, op2_source_mixing, op3_pii, op4_lm_scoring, op5_line_dedup, op6_quality_rules, op7_best_fit_packing, op8_html_extraction, op9_exact_topk, op10_simhash)
 
 
 def queries() -> dict:
@@ -63,4 +67,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Those of the ten that SQL can express; the others are tested against brute force."""
-    return {"op2_source_mixing": mixing.ORACLE, "op9_exact_topk": topk.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op2_source_mixing": mixing.ORACLE, "op9_exact_topk": topk.ORACLE}
