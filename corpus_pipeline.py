@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import packing, quality, simhash
+from loomline.llm import line_dedup, mixing, packing, quality, simhash
 from loomline.llm.common import stored
 from loomline.llm.queries import tokenizer_path
 
@@ -14,11 +15,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are similar to an earlier line of the corpus; n_chars follows the text."""
+    out = line_dedup.dedup(docs)
+    return out.withColumn("n_chars", F.when(F.col("_line_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled towards the target shares of source, language and topic."""
+    return mixing.sampled(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
     return packing.pack(docs, tokenizer_path())
@@ -26,7 +38,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources", source_mixing),
     ("best-fit packing", best_fit_packing),
 ]
 
