@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packets",)
+MODULES = ("packets", "encoding")
 
 
 def _all() -> dict:
