@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packets", "encoding")
+MODULES = ("packets", "encoding", "tenancy")
 
 
 def _all() -> dict:
