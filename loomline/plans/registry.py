@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packets", "encoding", "tenancy")
+MODULES = ("packets", "encoding", "tenancy", "evidence")
 
 
 def _all() -> dict:
