@@ -14,7 +14,7 @@ against that one only; should the check fail, the line is searched for again at
 near copies costs rows in proportion to its lines. Words that are common even so are dealt over SALTS parts.
 
 Defined results: null texts stay null, empty ones and short lines stay; rows that repeat an id and text are one document and don't remove each
-other's lines; null ids come last; an empty table gives no rows. Words and lines are told apart by 59- and 64-bit hashes.
+other's lines; null ids come last; an empty table gives no rows. Words and lines are told apart by 61- and 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,10 +26,15 @@ from .common import SPACE, WORD, stored
 
 THRESHOLD = 0.8
 MIN_CHARS = 20
-RANK_BITS = 18
+#: Word buckets of the rarity table are 2 ** RANK_BITS: it is a constant inside the plan, so it has to stay small. Any table gives the same result.
+RANK_BITS = 17
+#: A bucket's rank is how many of these multiples of the median bucket it exceeds.
+RANK_STEPS = (1, 4, 32)
+#: Lines of more words have a second set of parity bits, of half of their words: 64 bits would not tell them apart.
+LONG_LINE = 96
 CROWD = 32
-#: Words of this rank or above are salted; ranks are powers of two of the median bucket, shifted by 4.
-HOT_RANK, SALTS = 12, 16
+#: Words of this rank or above are salted.
+HOT_RANK, SALTS = 3, 16
 #: The most repeated lines, at most so many, are left to their first occurrence before they are cut into words.
 HOT_LINES = 20_000
 #: Tables of keys up to this many rows are sent to every executor (some 50 MB); larger ones are joined by a shuffle.
@@ -49,40 +54,57 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(long).withColumn("line_key", F.xxhash64("line"))
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text; empty ones may stand at its ends."""
+    return F.split(text, SPACE)
+
+
 def word_ranks(docs: DataFrame) -> Column:
-    """A constant array: the rarity rank (0..15) of each hash bucket of words, from all words of all texts."""
+    """A constant array of packed rarity ranks (0..3, two bits each) of the hash buckets of words, from all words of all texts."""
     n = 1 << RANK_BITS
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
+    words = docs.select(F.explode(plain_words(F.col("text"))).alias("w"))
     found = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).count().collect()  # at most 2 ** RANK_BITS rows
     sizes = sorted(r["count"] for r in found)
     median = sizes[len(sizes) // 2] if sizes else 1
-    ranks = [0] * n
+    packed = [0] * (n // 32)
     for r in found:
-        ranks[r["b"]] = max(0, min(15, 4 + (r["count"] // median).bit_length() - 1 if r["count"] >= median else 4 - (median // r["count"]).bit_length() + 1))
-    return F.expr(f"cast(split('{','.join(map(str, ranks))}', ',') as array<int>)")
+        rank = sum(r["count"] > median * step for step in RANK_STEPS)
+        packed[r["b"] >> 5] |= rank << 2 * (r["b"] & 31)
+    longs = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in packed)
+    return F.expr(f"cast(split('{longs}', ',') as array<bigint>)")
 
 
 def word_set(line: Column, ranks: Column) -> Column:
     """The line's distinct words as longs, rare ones first: rank in the upper bits, hash below."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.element_at(ranks, (h.bitwiseAND(F.lit((1 << RANK_BITS) - 1)) + 1).cast("int")).cast("long")
-        return F.shiftleft(rank, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+    def key(h: Column) -> Column:
+        packed = F.get(ranks, F.shiftright(h, 5).bitwiseAND(F.lit((1 << RANK_BITS - 5) - 1)).cast("int"))
+        rank = F.call_function("shiftright", packed, h.bitwiseAND(F.lit(31)).cast("int") * 2).bitwiseAND(F.lit(3))
+        return F.shiftleft(rank, 61).bitwiseOR(F.shiftrightunsigned(h, 3))
+
+    hashes = F.transform(F.array_remove(plain_words(line), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(F.array_distinct(hashes), key))
 
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"({WORD})"), 1), key)))
 
+def _parity(words: Column) -> Column:
+    """64 bits, of which each word flips one."""
+    one = F.lit(1).cast("long")
+    bits = F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.coalesce(bits, F.lit(0).cast("long"))
 
-def _parity(words: Column, half: int) -> Column:
-    """64 bits, of which each word of its half of all words flips one."""
-    flip = lambda w: F.call_function("shiftleft", F.shiftright(w, 12).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)), w.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(flip(w)))
+
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with computed columns behind a generator, so that what uses a column several times does not compute it again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def prefixes(lines: DataFrame, ranks: Column) -> DataFrame:
     """(word, line_key, k, n, pos, p1, p2): a row for each prefix word of each line."""
-    sets = lines.select("line_key", "k", word_set(F.col("line"), ranks).alias("words")).withColumn("n", F.size("words"))
-    sets = sets.select("line_key", "k", "n", _parity(F.col("words"), 0).alias("p1"), _parity(F.col("words"), 1).alias("p2"), F.slice("words", F.lit(1), F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9).cast("int") + 1).alias("prefix"))
+    sets = _once(lines.select("line_key", "k", "line"), words=word_set(F.col("line"), ranks)).drop("line")
+    n = F.size("words")
+    half = F.when(n > LONG_LINE, _parity(F.filter("words", lambda w: F.shiftright(w, 12).bitwiseAND(F.lit(1)) == 1)))
+    prefix = F.slice("words", F.lit(1), n - F.ceil(n * THRESHOLD - 1e-9).cast("int") + 1)
+    sets = sets.select("line_key", "k", n.alias("n"), _parity(F.col("words")).alias("p1"), F.coalesce(half, F.lit(0).cast("long")).alias("p2"), prefix.alias("prefix"))
     return sets.select("line_key", "k", "n", "p1", "p2", F.posexplode("prefix").alias("pos", "word"))
 
 
@@ -91,7 +113,14 @@ def may_match(a, b) -> Column:
     na, nb = a("n"), b("n")
     least = F.ceil((na + nb) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
     close = (F.least(na, nb) >= F.greatest(na, nb) * THRESHOLD - 1e-9) & (F.least(na - a("pos"), nb - b("pos")) >= least)
-    return close & (F.bit_count(a("p1").bitwiseXOR(b("p1"))) + F.bit_count(a("p2").bitwiseXOR(b("p2"))) <= na + nb - 2 * least)
+    whole, half = a("p1").bitwiseXOR(b("p1")), a("p2").bitwiseXOR(b("p2"))
+    apart = F.when((na > LONG_LINE) & (nb > LONG_LINE), F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
+    return close & (apart <= na + nb - 2 * least)
+
+
+def _meet(word: Column, salt: Column) -> Column:
+    """The part of a hot word that a salt names; kept apart from the words themselves, which are not negative."""
+    return F.xxhash64(word, salt).bitwiseOR(F.lit(-(1 << 63)))
 
 
 def _pairs(asking: DataFrame, all_rows: DataFrame, on: str) -> DataFrame:
@@ -123,8 +152,8 @@ def matched_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataF
     hot = stored(firsts.where("cnt > 8").orderBy(F.desc("cnt"), "line_key").limit(HOT_LINES).select("line_key", F.col("f").alias("hot_f")), "hot")
     fewer = lines.join(F.broadcast(hot), "line_key", "left").where(F.col("hot_f").isNull() | (F.col("hot_f") == F.struct("k", "h", "line_no")))
     rows = prefixes(fewer, ranks)
-    is_hot = F.shiftright("word", 59) >= HOT_RANK
-    rows = rows.withColumn("meet", F.when(is_hot, F.xxhash64("word", F.pmod("line_key", F.lit(SALTS)))).otherwise(F.col("word")))
+    is_hot = F.shiftrightunsigned("word", 61) >= HOT_RANK
+    rows = rows.withColumn("meet", F.when(is_hot, _meet(F.col("word"), F.pmod("line_key", F.lit(SALTS)).cast("int"))).otherwise(F.col("word")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(parts, "meet").groupBy("meet", "word", "line_key", "n", "pos", "p1", "p2").agg(F.min("k").alias("k"))
     here = Window.partitionBy("meet")
@@ -133,7 +162,9 @@ def matched_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataF
     near_first = F.col("crowd") & (F.col("first.k") < F.col("k")) & may_match(F.col, lambda c: F.col(f"first.{c}"))
     covered = seen.where(near_first).select(F.col("line_key").alias("a"), F.col("first.line_key").alias("b"), F.lit(True).alias("only_first"))
     asking = seen.where(~near_first)
-    others = _pairs(asking.where(~is_hot), met.where(~is_hot), "meet").union(_pairs(asking.where(is_hot), met.where(is_hot), "word"))
+    # met stands unfiltered on the right, so that its shuffle is the one that the window reads
+    spread = asking.where(is_hot).withColumn("meet", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: _meet(F.col("word"), i))))
+    others = _pairs(asking.where(~is_hot), met, "meet").union(_pairs(spread, met, "meet"))
     pairs = stored(covered.union(others.select("a", "b", F.lit(False))).groupBy("a", "b").agg(F.max("only_first").alias("only_first")), "pairs")
     done = stored(_verified(lines, pairs.select("a", "b"), firsts, ranks), "verified")
     open_ = stored(pairs.where("only_first").select(F.col("a").alias("line_key")).distinct().join(done, F.col("line_key") == F.col("a"), "left_anti"), "open")
