@@ -51,7 +51,7 @@ def scan(rows: DataFrame, order: list[str], **equal: str | None) -> DataFrame:
     for column, value in equal.items():
         if value is not None:
             rows = rows.where(F.col(column) == value)
-    return rows.orderBy(*order)
+    return rows.orderBy(*order) if order else rows
 
 
 def lookup(rows: DataFrame, **equal) -> DataFrame:
