@@ -153,7 +153,7 @@ def matched_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataF
     fewer = lines.join(F.broadcast(hot), "line_key", "left").where(F.col("hot_f").isNull() | (F.col("hot_f") == F.struct("k", "h", "line_no")))
     rows = prefixes(fewer, ranks)
     is_hot = F.shiftrightunsigned("word", 61) >= HOT_RANK
-    rows = rows.withColumn("meet", F.when(is_hot, _meet(F.col("word"), F.pmod("line_key", F.lit(SALTS)).cast("int"))).otherwise(F.col("word")))
+    rows = rows.withColumn("meet", F.when(is_hot, _meet(F.col("word"), F.pmod("line_key", F.lit(SALTS)).cast("int"))).otherwise(F.coalesce("word", F.lit(0).cast("long"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(parts, "meet").groupBy("meet", "word", "line_key", "n", "pos", "p1", "p2").agg(F.min("k").alias("k"))
     here = Window.partitionBy("meet")
