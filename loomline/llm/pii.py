@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
 Rules find plain e-mail addresses, network addresses, payment cards and phone numbers exactly. The field then looks at
-islands of words around a digit, an at sign or a spelled-out dot: every run of up to MAX_WORDS words there is a
+islands of words around a digit, an at sign, a bracketed at or a spelled-out dot: every run of up to MAX_WORDS words there is a
 candidate segment, scored as a whole (digit groups, separators, checksum, neighbouring word), and dynamic programming
 over segments of bounded length chooses boundaries and types together. Words outside islands cannot start or end a
 candidate, and a word outside all segments scores 0, so deciding island by island equals deciding over the whole text. Segments that the best
@@ -31,7 +31,7 @@ from .common import source_rows
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_WORDS = 7
-SIDE_WORDS = 2
+SIDE_WORDS = 4
 MIN_PROBABILITY = 0.9
 SAMPLE_ISLANDS = 600
 SYNTHETIC = 60
@@ -43,7 +43,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]+")
-_trigger = re.compile(r"[0-9@]|(?<![^\s\[({])dot(?![^\s\])}])")
+_trigger = re.compile(r"[0-9@]|[\[({]at[\])}]|(?<![^\s\[({])dot(?![^\s\])}])")
 _words = re.compile(r"\S+")
 
 
@@ -257,6 +257,9 @@ def synthetic(n: int = SYNTHETIC, seed: int = 7) -> list[tuple[str, list[tuple[s
     num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(3, 8)))
 
+    def name() -> str:
+        return rnd.choice((word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}_{word()}"))
+
     def card() -> str:
         d = rnd.choice("456") + num(14)
         return next(d + c for c in "0123456789" if luhn(d + c))
@@ -266,7 +269,10 @@ def synthetic(n: int = SYNTHETIC, seed: int = 7) -> list[tuple[str, list[tuple[s
 
     c4 = lambda sep: sep.join((d := card())[i : i + 4] for i in range(0, 16, 4))
     spans = {
-        "email": [lambda: f"{word()} at {word()} dot com", lambda: f"{word()}[at]{word()}.org", lambda: f"{word()} [at] {word()} [dot] net", lambda: f"{word()}.{word()}(at){word()}.com", lambda: f"{word()} @ {word()}.com", lambda: f"{word()}{num(2)}@{word()}.com"],
+        "email": [
+            lambda: f"{name()} at {word()} dot com", lambda: f"{name()}[at]{word()}.org", lambda: f"{name()} [at] {word()} [dot] {rnd.choice(('net', 'org', 'com'))}", lambda: f"{name()}(at){word()}.com",
+            lambda: f"{name()} (at) {word()}.{word()}.com", lambda: f"{name()} @ {word()}.com", lambda: f"{name()}@{word()}.com",
+        ],
         "ip": [lambda: "[.]".join(octets()), lambda: ".".join(octets()), lambda: " dot ".join(octets())],
         "card": [lambda: c4("."), lambda: c4("/"), lambda: c4("-"), lambda: c4(" "), card],
         "phone": [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", lambda: f"00{num(2)} {num(3)} {num(3)} {num(3)}", lambda: f"1-{num(3)}-{num(3)}-{num(4)}"],
