@@ -70,9 +70,11 @@ def with_targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None,
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Adds `weight`: tokens of each cell after `rounds` rounds of fitting to the three targets."""
+    """Adds `weight`: tokens of each cell after `rounds` rounds of fitting to the three targets. Longer fits are written every ROUNDS rounds."""
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done and done % ROUNDS == 0:
+            fitted = stored(fitted, "raked")
         for d in DIMENSIONS:
             fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
     return fitted
