@@ -25,7 +25,7 @@ def row_text(columns: list[str]) -> Column:
 
 def keyword_hits(df: DataFrame, text: Column, terms: list[str], k: int, order: list[str]) -> DataFrame:
     """The k rows of all that hold most of the terms (newest first among equals); rows without a term are out."""
-    rows = df.withColumn("hits", n_of(F.lower(text), terms)).where("hits > 0")
+    rows = df.withColumn("_text", F.lower(text)).withColumn("hits", n_of(F.col("_text"), terms)).drop("_text").where("hits > 0")
     return top_overall(rows, [F.desc("hits"), *[F.desc(c) for c in order]], k)
 
 
