@@ -30,7 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there and no executor's loss matters."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"loomline.path": path})
 
 
