@@ -102,7 +102,7 @@ def preferred_row(spark, sf_dir):
 def action_and_explanation(spark, sf_dir):
     rows = memory(spark, sf_dir)
     packets = P.entity_packet(rows, ["topic"], ORDER, ("click", "signup"))
-    counters = P.trusted_rows(rows).where("signal_type = 'counter_evidence' AND k % 9 < 2").groupBy("topic").agg(F.count(F.lit(1)).alias("n_counter_evidence"))
+    counters = P.trusted_rows(rows).where("signal_type = 'counter_evidence' AND memory_value <> 'Receipt on file'").groupBy("topic").agg(F.count(F.lit(1)).alias("n_counter_evidence"))
     both = packets.join(counters, "topic", "left").fillna(0, ["n_counter_evidence"])
     out = P.explanation(P.least_harm_action(both), "internal")
     return out.select("topic", "n_counter_evidence", "recommended_action", "human_review_required", "explanation", "sensitive_details_allowed")
@@ -168,7 +168,7 @@ QUERIES = {
     ),
     "K17_K18_action_and_explanation": (
         action_and_explanation,
-        f"{M}, p AS ({_ENTITY_SQL[len(M):]}), c AS (SELECT topic, count(*) AS n FROM m WHERE {TRUST} AND signal_type = 'counter_evidence' AND k % 9 < 2 GROUP BY topic) "
+        f"{M}, p AS ({_ENTITY_SQL[len(M):]}), c AS (SELECT topic, count(*) AS n FROM m WHERE {TRUST} AND signal_type = 'counter_evidence' AND memory_value <> 'Receipt on file' GROUP BY topic) "
         "SELECT topic, coalesce(n, 0) AS n_counter_evidence, CASE WHEN n > 0 THEN 'request_evidence' WHEN active_signals <> '' THEN 'human_review' ELSE 'do_nothing' END AS recommended_action, "
         "n > 0 IS TRUE OR active_signals <> '' AS human_review_required, concat('State moved from ', coalesce(previous_state, 'None'), ' to ', coalesce(current_state, 'None'), '.') AS explanation, "
         "true AS sensitive_details_allowed FROM p LEFT JOIN c USING (topic)",

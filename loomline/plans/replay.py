@@ -114,13 +114,13 @@ def causes(spark, sf_dir):
 
 def next_states(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    branches = orders.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("source"), F.col("o_orderstatus").alias("condition"), (F.col("o_custkey") + 1).alias("target"), F.col("o_orderkey").alias("ordinal"))
+    branches = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_custkey").alias("source"), F.col("o_orderstatus").alias("condition"), (F.col("o_custkey") + 1).alias("target"), F.col("o_orderkey").alias("ordinal"))
     return replay.next_states(orders.select(F.col("o_custkey").alias("state"), F.col("o_orderstatus").alias("condition")).distinct(), branches)
 
 
 def upserted_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("seq", F.lit(1))
-    batch = orders.where("o_orderkey % 3 = 0").withColumns({"o_orderstatus": F.lit("X"), "seq": F.lit(2)})
+    batch = orders.where("o_orderpriority = '1-URGENT'").withColumns({"o_orderstatus": F.lit("X"), "seq": F.lit(2)})
     return store.upserted(orders, batch, ["o_orderkey"], "seq").select("o_orderkey", "o_custkey", "o_orderstatus", "seq")
 
 
@@ -171,9 +171,9 @@ QUERIES = {
     ),
     "J12_next_states": (
         next_states,
-        "WITH b AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) SELECT DISTINCT o.o_custkey AS state, o.o_orderstatus AS condition, CASE WHEN b.o_custkey IS NULL THEN o.o_custkey ELSE o.o_custkey + 1 END AS next_state FROM orders o LEFT JOIN b USING (o_custkey, o_orderstatus)",
+        "WITH b AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW') SELECT DISTINCT o.o_custkey AS state, o.o_orderstatus AS condition, CASE WHEN b.o_custkey IS NULL THEN o.o_custkey ELSE o.o_custkey + 1 END AS next_state FROM orders o LEFT JOIN b USING (o_custkey, o_orderstatus)",
     ),
-    "A10_upsert": (upserted_orders, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS seq FROM orders"),
+    "A10_upsert": (upserted_orders, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS seq FROM orders"),
     "A14_latest": (latest_order, "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1"),
     "A17_table_counts": (table_counts, " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))),
     "A11_scoped_scan": (scoped_scan, "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
