@@ -9,8 +9,8 @@ meet at a word must have close sizes (length filter), enough words left after th
 word-parity bits that differ in no more places than the sets may (a lower bound of their difference); the Jaccard similarity of
 those left is computed. Equal lines are counted once: first occurrences stand for all.
 
-Where more than CROWD lines meet at a word, a line that passes the filters with the earliest of them is checked
-against that one only; should the check fail, the line is searched for again at all of its words. So a group of many
+Where more than CROWD lines meet at a word, a line that passes the filters with the earliest of them of its own size is checked
+against that one only; should the check fail, the line is searched for again at those words. So a group of many
 near copies costs rows in proportion to its lines. Words that are common even so are dealt over SALTS parts.
 
 Defined results: null texts stay null, empty ones and short lines stay; rows that repeat an id and text are one document and don't remove each
@@ -31,7 +31,7 @@ RANK_BITS = 17
 #: A bucket's rank is how many of these multiples of the median bucket it exceeds.
 RANK_STEPS = (1, 4, 32)
 #: Lines of more words have a second set of parity bits, of half of their words: 64 bits would not tell them apart.
-LONG_LINE = 96
+LONG_LINE = 64
 CROWD = 32
 #: Words of this rank or above are salted.
 HOT_RANK, SALTS = 3, 16
@@ -156,23 +156,25 @@ def matched_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataF
     rows = rows.withColumn("meet", F.when(is_hot, _meet(F.col("word"), F.pmod("line_key", F.lit(SALTS)).cast("int"))).otherwise(F.coalesce("word", F.lit(0).cast("long"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = rows.repartition(parts, "meet").groupBy("meet", "word", "line_key", "n", "pos", "p1", "p2").agg(F.min("k").alias("k"))
-    here = Window.partitionBy("meet")
-    first = F.min(F.struct("k", "line_key", "n", "pos", "p1", "p2")).over(here)
-    seen = met.withColumn("first", first).withColumn("crowd", F.count(F.lit(1)).over(here) > CROWD)
+    first = F.min(F.struct("k", "line_key", "n", "pos", "p1", "p2")).over(Window.partitionBy("meet", "n"))
+    seen = met.withColumn("first", first).withColumn("crowd", F.count(F.lit(1)).over(Window.partitionBy("meet")) > CROWD)
     near_first = F.col("crowd") & (F.col("first.k") < F.col("k")) & may_match(F.col, lambda c: F.col(f"first.{c}"))
-    covered = seen.where(near_first).select(F.col("line_key").alias("a"), F.col("first.line_key").alias("b"), F.lit(True).alias("only_first"))
+    covered = seen.where(near_first).select(F.col("line_key").alias("a"), F.col("first.line_key").alias("b"), F.col("word").alias("only_first"))
     asking = seen.where(~near_first)
     # met stands unfiltered on the right, so that its shuffle is the one that the window reads
     spread = asking.where(is_hot).withColumn("meet", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: _meet(F.col("word"), i))))
     others = _pairs(asking.where(~is_hot), met, "meet").union(_pairs(spread, met, "meet"))
-    pairs = stored(covered.union(others.select("a", "b", F.lit(False))).groupBy("a", "b").agg(F.max("only_first").alias("only_first")), "pairs")
+    # only_first: the words at which a was held against b alone
+    pairs = stored(covered.union(others.select("a", "b", F.lit(None).cast("long"))).groupBy("a", "b").agg(F.collect_set("only_first").alias("only_first")), "pairs")
     done = stored(_verified(lines, pairs.select("a", "b"), firsts, ranks), "verified")
-    open_ = stored(pairs.where("only_first").select(F.col("a").alias("line_key")).distinct().join(done, F.col("line_key") == F.col("a"), "left_anti"), "open")
+    held = pairs.where(F.size("only_first") > 0).join(done, "a", "left_anti")
+    open_ = stored(held.select(F.col("a").alias("line_key"), F.explode("only_first").alias("word")).distinct(), "open")
     if open_.isEmpty():
         return done
-    # lines that only looked like the first of a crowd: at all of their words, against all lines
-    places = stored(open_.join(firsts, "line_key").select("line_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.line_no").alias("line_no")), "places")
-    again = stored(prefixes(lines.join(_small(places), ["line_key", "k", "h", "line_no"]).dropDuplicates(["line_key"]), ranks), "again")
+    # lines that only looked like the first of a crowd: at the words of those crowds, against all lines
+    places = stored(open_.select("line_key").distinct().join(firsts, "line_key").select("line_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.line_no").alias("line_no")), "places")
+    found = prefixes(lines.join(_small(places), ["line_key", "k", "h", "line_no"]).dropDuplicates(["line_key"]), ranks)
+    again = stored(found.join(open_, ["line_key", "word"], "left_semi"), "again")
     at_words = prefixes(fewer, ranks).join(_small(stored(again.select("word").distinct(), "words")), "word", "left_semi")
     more = stored(_pairs(again, at_words, "word").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     return done.union(_verified(lines, more, firsts, ranks)).distinct()
