@@ -96,14 +96,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp, text_hash) per row; fp is the fingerprint's 64 bits as a signed long, text_hash tells rows that share an id apart."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return source_rows(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(batches, "doc_id long, fp long")
+    rows = source_rows(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(batches, "doc_id long, fp long, text_hash long")
 
 
 def _keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +163,30 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but one document of each group: the one with the smallest id stays.
+    """The rows of docs without all but one row of each group of near-duplicates: the one with the smallest id (null ids last), then text hash.
 
-    Rows that repeat an id are told apart by nothing else, so one of them stays; if all ids of a group are null, one of its rows stays.
+    A row is known by its id and text, so rows that only share an id, or have none, are judged each on their own. Rows
+    that repeat both are one document; of them the one stays whose columns are smallest.
     """
-    found = stored(near_duplicates(docs), "groups")
-    rows, ids = found.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    if rows != ids:  # repeated or null ids: one row for each id is left before groups are judged
-        docs = docs.dropDuplicates(["doc_id", "text"]).withColumn("_fp_ll", F.xxhash64("text"))
-        docs = docs.dropDuplicates(["doc_id"]).drop("_fp_ll")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    each = stored(fingerprints(docs), "fingerprints")
+    label = stored(components(links(each.select("fp").distinct())), "components").select(F.col("node").alias("fp"), "component")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    found = stored(each.join(label, "fp", "left").select(F.coalesce("component", "fp").alias("component"), row.alias("row")), "groups")
+    firsts = found.groupBy("component").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select("component", "first")
+    gone = stored(found.join(firsts, "component").where("row <> first").select("row.*").distinct(), "gone")
+    again = stored(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row.*").join(gone, ["no_id", "id", "text_hash"], "left_anti"), "again")
+    names = {"no_id": "_near_no_id", "id": "_near_id", "text_hash": "_near_text"}
+    own = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({"_near_no_id": own.isNull(), "_near_id": F.coalesce(own, F.lit(0)), "_near_text": F.xxhash64("text")})
+
+    def sent(rows: DataFrame) -> DataFrame:
+        n, rows = rows.count(), rows.withColumnsRenamed(names)
+        return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+    keys, columns = list(names.values()), [F.col(f"`{c}`") for c in docs.columns]
+    kept = keyed.join(sent(gone), keys, "left_anti")
+    if again.isEmpty():
+        return kept.select(columns)
+    once = kept.join(sent(again), keys, "left_anti").select(columns)
+    repeated = kept.join(sent(again), keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_near_row"))
+    return once.union(repeated.select("_near_row.*"))

@@ -108,3 +108,14 @@ def test_defined_results(spark):
     assert lines[3] == (None, 0) and lines[4] == ("", 0) and lines[8] == ("a line that is said twice in here\nend", 1)
     good = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     assert good[3]["n_words"] == 0 and good[3]["base_failed"] and not good[3]["kept"]
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    """Null ids and shared ids with other texts stay; copies go whatever their id; the smallest id stays."""
+    other = [" ".join(f"t{k}x{i * 7919 % 613} so" for i in range(60)) for k in range(5)]
+    rows = [(None, other[0]), (None, other[1]), (4, other[2]), (4, other[3]), (None, PROSE), (2, PROSE), (4, PROSE), (9, other[4]), (9, other[4]), (None, None), (None, "")]
+    docs = frame(spark, [(i, t, "en", "web") for i, t in rows]).repartition(3)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect())
+    assert kept == sorted([("None", other[0]), ("None", other[1]), ("4", other[2]), ("4", other[3]), ("2", PROSE), ("9", other[4]), ("None", "")])
