@@ -198,6 +198,31 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(texts):
     assert not quality.band_verdict(noise.encode(), zstd)[0]
 
 
+def test_bands_reject_labelled_junk_and_keep_labelled_prose(sf_dir):
+    """On rows that the bands were not fitted on: odd crc32 of the id, past the base rule."""
+    import zstandard
+
+    zstd, seen = zstandard.ZstdCompressor(level=3), {0: [], 1: []}
+    folder = Path(sf_dir).parent / "sf0.1"
+    for i, t, label in duckdb.connect().execute(f"SELECT doc_id, text, quality FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id)").fetchall():
+        if zlib.crc32(str(i).encode()) % 2 and not (got := quality.judge(i, t, zstd))[6]:
+            seen[label].append(got[7])
+    assert len(seen[0]) >= 100 and sum(seen[0]) <= 0.25 * len(seen[0])
+    assert len(seen[1]) >= 1000 and sum(seen[1]) >= 0.99 * len(seen[1])
+
+
+def test_bands_reject_hex_base64_and_a_bad_last_chunk(texts):
+    import base64
+
+    import zstandard
+
+    zstd, noise = zstandard.ZstdCompressor(level=3), np.random.default_rng(2).bytes(8000)
+    assert not quality.band_verdict(noise.hex().encode()[:8000], zstd)[0]
+    assert not any(quality.band_verdict(base64.b64encode(noise)[:n], zstd)[0] for n in (512, 1000, 2000, 4000))
+    prose = next(t.encode() for t, _ in texts.values() if len(t) > 2300 and quality.band_verdict(t.encode(), zstd)[0])[:2100]
+    assert quality.band_verdict(prose[:2048] + b"##" * 900, zstd)[2:] == (1, 2)
+
+
 def test_packing_round_trip(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
