@@ -8,6 +8,11 @@ document is kept when a uniform number made from the hash of its id falls under
 Targets are shares by value. Where none are given, a column's observed token shares are tempered: raised to a
 power below 1 and scaled to sum to one, which lifts rare values and lowers common ones. Values without a target keep their observed share.
 
+No document can be kept more than once, so a cell's weight is bound by tokens / budget while raking and what exceeds it goes to the other
+cells of the same value. Where a value holds too few tokens for its share of the budget, the budget falls to the largest tried that meets the
+targets: BUDGET is the most that is kept. `bounded=False` leaves the bound out and cuts probabilities at 1 instead, which
+misses the targets of rare values; only the query op2_source_mixing asks for it, since its SQL twin is so defined.
+
 Defined results: a null source, language or topic is a value of its own ('?'); null and empty texts hold 0 tokens,
 weigh nothing and are never sampled; repeated rows get the same number and so the same fate, as does every null id; an
 empty table gives no rows. Ties cannot arise: each document is decided on its own.
@@ -25,6 +30,8 @@ TEMPER = 0.7
 ROUNDS = 12
 #: Tokens to keep, as a share of all.
 BUDGET = 0.6
+#: Share by which the bound may miss a target more than raking without it does, and budgets tried (each 5 % less).
+MISS, BUDGETS = 0.001, 12
 #: Topics by the first mark that a text holds, in this order, and the topic of texts without any.
 TOPIC_MARKS = (("table", " | "), ("licence", "icense"), ("contact", "@"), ("code", "{"))
 OTHER_TOPIC = "prose"
@@ -69,31 +76,65 @@ def with_targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None,
     return cells
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Adds `weight`: tokens of each cell after `rounds` rounds of fitting to the three targets. Longer fits are written every ROUNDS rounds."""
+def rake(cells: DataFrame, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+    """Adds `weight`: tokens of each cell after `rounds` rounds of fitting to the three targets, at most tokens / budget if one is given. Longer fits are written every ROUNDS rounds."""
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
     for done in range(rounds):
         if done and done % ROUNDS == 0:
             fitted = stored(fitted, "raked")
         for d in DIMENSIONS:
-            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
+            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d))) if budget is None else _bounded_step(fitted, d, budget)
     return fitted
 
 
+def _bounded_step(fitted: DataFrame, d: str, budget: float) -> DataFrame:
+    """One dimension's step: cells at their bound stay there and the others take what the target leaves; all shrink if the bounds alone exceed it."""
+    most, value, target = F.col("tokens") / budget, Window.partitionBy(d), F.col(f"target_{d}")
+    full = F.col("weight") >= most * (1 - 1e-12)
+    sums = {"_held": F.when(full, most).otherwise(0.0), "_free": F.when(full, 0.0).otherwise(F.col("weight")), "_whole": F.col("weight")}
+    fitted = fitted.withColumns({name: F.sum(c).over(value) for name, c in sums.items()})
+    freely = F.least(most, F.col("weight") * (target - F.col("_held")) / F.col("_free"))
+    moved = F.when(target < F.col("_held"), F.col("weight") * target / F.col("_whole")).when(full, most).otherwise(freely)
+    return fitted.withColumn("weight", moved).drop(*sums)
+
+
+def _miss(fitted: DataFrame) -> float:
+    """The largest distance of a value's fitted share from its target."""
+    return fitted.agg(F.max(F.greatest(*[F.col(f"_miss_{d}") for d in DIMENSIONS]))).first()[0] or 0.0
+
+
+def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float, budget: float, rounds: int, bounded: bool = True) -> DataFrame:
+    """The three columns of each cell of `cells` (tokens) and its documents' `prob`, written."""
+    cells = stored(with_targets(cells, targets, temper), "targets")
+    misses = {f"_miss_{d}": F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"target_{d}")) / F.col("total") for d in DIMENSIONS}
+    fitted = rake(cells, rounds)
+    if bounded:
+        # a value cannot give more than all its tokens
+        shares = [F.sum("tokens").over(Window.partitionBy(d)) / F.when(F.col(f"target_{d}") > 0, F.col(f"target_{d}")) for d in DIMENSIONS]
+        least = cells.select(F.least(*shares).alias("share")).agg(F.min("share")).first()[0]
+        budget = budget if least is None else min(budget, least)
+        allowed = _miss(fitted.withColumns(misses)) + MISS
+        for left in reversed(range(BUDGETS)):
+            fitted = stored(rake(cells, rounds, budget).withColumns(misses), "bounded")
+            if not left or _miss(fitted) <= allowed:
+                break
+            budget *= 0.95
+    prob = F.round(F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens")), 9)
+    return stored(fitted.select(*DIMENSIONS, prob.alias("prob")), "fitted")
+
+
 def uniform(doc_id: Column) -> Column:
     """A number in [0, 1) from the id: the first 8 hex digits of its text's MD5."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("?"))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, prob (rounded to 9 places) and sampled for every row of docs."""
     each = stored(described(docs), "described")
     cells = each.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     cells = stored(cells, "cells")
-    fitted = rake(with_targets(cells, targets, temper), rounds)
-    prob = F.round(F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens")), 9)
     # one row per observed combination of source, language and topic, all of them much fewer than documents
-    out = each.join(stored(fitted.select(*DIMENSIONS, prob.alias("prob")), "fitted"), list(DIMENSIONS), "left")
+    out = each.join(fit(cells, targets, temper, budget, rounds, bounded), list(DIMENSIONS), "left")
     out = out.withColumn("prob", F.when(F.col("n_tokens") > 0, F.col("prob")).otherwise(0.0))
     return out.select("doc_id", *DIMENSIONS, "n_tokens", "prob", (uniform(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
@@ -102,10 +143,8 @@ def sampled(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs that calibrated() samples. The probability of a row's own cell is looked up beside its text, so texts are not shuffled while the cell table is small enough to send."""
     each = described(docs)
     cells = stored(each.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    budget = settings.get("budget", BUDGET)
-    fitted = rake(with_targets(cells, settings.get("targets"), settings.get("temper", TEMPER)), settings.get("rounds", ROUNDS))
-    prob = F.round(F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens")), 9)
-    table = stored(fitted.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], prob.alias("_mix_prob")), "fitted")
+    fitted = fit(cells, settings.get("targets"), settings.get("temper", TEMPER), settings.get("budget", BUDGET), settings.get("rounds", ROUNDS), settings.get("bounded", True))
+    table = fitted.withColumnsRenamed({c: f"_mix_{c}" for c in fitted.columns})
     text = F.coalesce("text", F.lit(""))
     keyed = {"source": F.coalesce(F.col("source").cast("string"), F.lit("?")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("?")), "topic": topic_of(text)}
     n = table.count()

@@ -72,6 +72,21 @@ def test_raking_meets_its_targets(spark, sf_dir):
         assert all(abs(fitted[k] - v / norm) < 0.02 for k, v in wanted.items())
 
 
+def test_expected_sample_meets_the_targets(spark, sf_dir):
+    """Shares of the tokens that are expected to be kept, not of the fitted weights."""
+    docs = spark.read.parquet(f"{Path(sf_dir).parent}/sf0.01/documents.parquet")
+    rows = mixing.calibrated(docs).where("n_tokens > 0").collect()
+    kept = sum(r["n_tokens"] * r["prob"] for r in rows)
+    assert 0 < kept <= (mixing.BUDGET + 1e-6) * sum(r["n_tokens"] for r in rows)
+    for d in mixing.DIMENSIONS:
+        own, got = collections.Counter(), collections.Counter()
+        for r in rows:
+            own[r[d]] += r["n_tokens"]
+            got[r[d]] += r["n_tokens"] * r["prob"] / kept
+        wanted = {k: (v / sum(own.values())) ** mixing.TEMPER for k, v in own.items()}
+        assert all(abs(got[k] - v / sum(wanted.values())) < 0.003 for k, v in wanted.items())
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The contract's own expressions."""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
