@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.neighbours import BUCKET
+from loomline.sources.shared import written
+
 #: Operations, and the limit that each counts against.
 OPERATIONS = {
     "events_ingest": "max_events",
@@ -79,24 +84,59 @@ def admit(decided: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:
     """Adds the quota's verdict, in the order of requests: one is admitted while what was admitted before plus its count fits.
 
     limits: client_id, max_events, max_packets, max_reports. With counts of one this is a rank; with any counts, whether a
-    request is admitted depends on earlier admissions, so each scope's requests are folded in order. The fold holds
-    the (order, count) pairs of one scope and operation, a few bytes each; where all counts are one, use admit_single().
+    request is admitted depends on earlier admissions, see _admitted(). A null count never fits a limit. Where all counts are
+    one, use admit_single().
     """
     scope = ["client_id", "vault_id", "namespace", "operation"]
     rows = decided.join(limits, "client_id", "left").withColumn("_max", operation_limit(F.struct("max_events", "max_packets", "max_reports")))
-    asking = rows.where("allowed")
+    verdicts = _admitted(rows.where("allowed").select(*scope, *order, "count", "_max"), scope, order).withColumn("_fits", F.lit(True))
+    out = rows.join(verdicts, [*scope, *order], "left")
+    over = F.col("allowed") & ~F.coalesce(F.col("_fits"), F.lit(False))
+    return _coded(out.withColumn("reason", F.when(over, "usage_limit_exceeded").otherwise(F.col("reason")))).drop("_fits", "_max", "max_events", "max_packets", "max_reports")
+
+
+def _admitted(asking: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """scope and order of the calls that fit.
+
+    In each round the calls of a scope up to the first overflow of its running sum are admitted, and of the later ones those
+    that still fit the room left go on. The room falls and the largest count left falls with it, so there are no more rounds
+    than distinct counts. Running sums are taken per (scope, range of the order), so a hot scope is spread over many tasks.
+    Scopes with a negative count can gain room again; only these are folded call by call.
+    """
+    columns = [*scope, *order]
+    gaining = asking.where("count < 0 AND _max IS NOT NULL").select(*scope).distinct()
+    done = [asking.where("_max IS NULL").select(columns)]
+    limited = asking.where("count IS NOT NULL AND _max IS NOT NULL")
+    if not gaining.isEmpty():
+        done.append(_folded(limited.join(gaining, scope, "left_semi"), scope, order))
+        limited = limited.join(gaining, scope, "left_anti")
+    ranged = limited.where("count <= _max").withColumnRenamed("_max", "_room").repartitionByRange(*columns)
+    now = written(ranged.withColumn(BUCKET, F.spark_partition_id()), "asking")
+    while not now.isEmpty():
+        sizes = now.groupBy(*scope, BUCKET).agg(F.sum("count").alias("_n"))
+        earlier = Window.partitionBy(*scope).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        before = sizes.select(*scope, BUCKET, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        running = F.sum("count").over(Window.partitionBy(*scope, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        judged = written(now.withColumn("_reached", running).join(before, [*scope, BUCKET]).withColumn("_reached", F.col("_reached") + F.col("_before")).drop("_before"), "judged")
+        done.append(judged.where("_reached <= _room").select(columns))
+        taken = judged.where("_reached <= _room").groupBy(*scope).agg(F.max("_reached").alias("_taken"))
+        left = judged.where("_reached > _room").drop("_reached").join(taken, scope, "left")
+        now = written(left.withColumn("_room", F.col("_room") - F.coalesce("_taken", F.lit(0))).drop("_taken").where("count <= _room"), "asking")
+    return reduce(DataFrame.union, done)
+
+
+def _folded(asking: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """scope and order of the calls that fit, a scope's calls folded one by one in one array."""
     calls = F.array_sort(F.collect_list(F.struct(*order, "count")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(acc: Column, call: Column) -> Column:
-        fits = F.col("_max").isNull() | (acc["used"] + call["count"] <= F.col("_max"))
+        fits = acc["used"] + call["count"] <= F.col("_max")
         return F.struct((acc["used"] + F.when(fits, call["count"]).otherwise(0)).alias("used"), F.concat(acc["ok"], F.array(fits)).alias("ok"))
 
     folded = asking.groupBy(*scope, "_max").agg(calls.alias("calls")).withColumn("ok", F.aggregate("calls", start, step)["ok"])
-    verdicts = folded.select(*scope, F.explode(F.arrays_zip("calls", "ok")).alias("x")).select(*scope, *[F.col(f"x.calls.{c}").alias(c) for c in order], F.col("x.ok").alias("_fits"))
-    out = rows.join(verdicts, [*scope, *order], "left")
-    over = F.col("allowed") & ~F.coalesce(F.col("_fits"), F.lit(False))
-    return _coded(out.withColumn("reason", F.when(over, "usage_limit_exceeded").otherwise(F.col("reason")))).drop("_fits", "_max", "max_events", "max_packets", "max_reports")
+    verdicts = folded.select(*scope, F.explode(F.arrays_zip("calls", "ok")).alias("x")).where("x.ok")
+    return verdicts.select(*scope, *[F.col(f"x.calls.{c}").alias(c) for c in order])
 
 
 def admit_single(decided: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:

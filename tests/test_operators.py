@@ -123,6 +123,24 @@ def test_quota_fold_admits_what_still_fits(spark):
     assert [r["status_code"] for r in got] == [200, 429, 200, 429]
 
 
+def test_quota_gathers_no_scope_and_equals_a_plain_loop(spark, monkeypatch):
+    import random
+
+    rng, limit = random.Random(5), {"a": 60, "b": 7, "c": None, "d": 40}
+    calls = [(c, i, rng.choice([0, 1, 2, 3, 5, 9, 50, None])) for i in range(400) for c in limit]
+    calls += [("d", 400, -20), ("d", 401, 5)]
+    rows = spark.createDataFrame(calls, "client_id string, i int, count long").selectExpr("client_id", "'v' vault_id", "'n' namespace", "'report_read' operation", "'allowed' reason", "200 status_code", "true allowed", "i", "count")
+    limits = spark.createDataFrame([(c, 9, 9, n) for c, n in limit.items()], "client_id string, max_events long, max_packets long, max_reports long")
+    wanted, used = {}, dict.fromkeys(limit, 0)
+    for c, i, n in sorted(calls, key=lambda x: x[:2]):
+        wanted[c, i] = limit[c] is None or (n is not None and used[c] + n <= limit[c])
+        used[c] += n if wanted[c, i] and n else 0
+    assert {(r["client_id"], r["i"]): r["allowed"] for r in access.admit(rows, limits, ["i"]).collect()} == wanted
+    monkeypatch.setattr(F, "collect_list", None)
+    steady = access.admit(rows.where("client_id <> 'd'"), limits, ["i"])
+    assert {(r["client_id"], r["i"]): r["allowed"] for r in steady.collect()} == {k: v for k, v in wanted.items() if k[0] != "d"}
+
+
 def test_bearer(spark):
     df = spark.createDataFrame([("Bearer abc",), ("Basic abc",), (None,), ("Bearer ",)], "h string")
     assert [r[0] for r in df.select(access.bearer(F.col("h"))).collect()] == ["abc", None, None, None]
