@@ -46,7 +46,7 @@ class TokenBytes:
 
     The vocabulary's ids are its merge ranks, so a rank encoder built from the same file gives the same ids faster. A text in
     which no space is followed by more white space or by the end splits at its spaces without changing any token; its
-    parts are then looked up in a table. Other texts go through the library itself.
+    parts are then looked up in a table. Other texts, and those that hold an added token's content, go through the library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,13 +55,13 @@ class TokenBytes:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {t["content"] for t in model.get("added_tokens", ())}
         symbols = _byte_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.encoder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = tuple(special)
         self.words: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
@@ -70,7 +70,7 @@ class TokenBytes:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _joined_space.search(text):
+        if _joined_space.search(text) or any(content in text for content in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         words = self.words

@@ -263,6 +263,16 @@ def test_packing_round_trip(spark, sf_dir, texts):
     assert len(places) == len(best_fit([r["length"] for r in got]))
 
 
+def test_added_tokens_as_the_library_gives_them():
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(tokenizer_path()), packing.TokenBytes(tokenizer_path())
+    assert encode.special
+    for content in encode.special:
+        for t in (content, f"one{content}two", f"one {content} two", f"one  {content}\n", content[:-1]):
+            assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def best_fit(lengths: list[int], capacity: int = packing.CAPACITY) -> list[int]:
     """Best-fit decreasing, one piece at a time."""
     rooms: list[int] = []
