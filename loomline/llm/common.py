@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: The white space that separates words, as a regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\v\f\r"
 
 _fallback: str | None = None
 
@@ -49,3 +50,13 @@ def crc_mod(column: str, n: int):
 def source_rows(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no extra column of the input can clash with a computed one."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before each until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out

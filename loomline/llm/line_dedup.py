@@ -3,43 +3,48 @@
 A line that is at least MIN_CHARS long and holds a word is the set of its words. It is removed if an earlier line (by document id,
 hash of the text, line number) has a Jaccard similarity of THRESHOLD or more, be that earlier line removed or not. Lines are never shortened.
 
-The join: words are hashed and ordered from rare to common by how often words of their hash bucket occur in the
-corpus; two similar sets share a word among the first n - ceil(THRESHOLD * n) + 1 of either (prefix filter). Pairs that
+The join: words are hashed and ordered from rare to common by how often words of their hash bucket occur in all
+texts (two ranks for each doubling); two similar sets share a word among the first n - ceil(THRESHOLD * n) + 1 of either (prefix filter). Pairs that
 meet at a word must have close sizes (length filter), enough words left after their places (positional filter) and
 word-parity bits that differ in no more places than the sets may (a lower bound of their difference); the Jaccard similarity of
 those left is computed. Equal lines are counted once: first occurrences stand for all.
 
-Where more than CROWD lines meet at a word, a line that passes the filters with the earliest of them of its own size is checked
-against that one only; should the check fail, the line is searched for again at those words. So a group of many
-near copies costs rows in proportion to its lines. Words that are common even so are dealt over SALTS parts.
+Where more than CROWD lines meet at a word, each is first held against LEADERS of them: the earliest line, the earliest that is
+not near that one, and so on. Only lines that match none of their leaders at any word are then joined with all lines of the
+crowd, so a group of many near copies costs rows in proportion to its lines. A word that so many lines may hold that one task
+should not take them (its bucket's count is over PART_ROWS) is dealt over as many parts as its count asks for.
 
 Defined results: null texts stay null, empty ones and short lines stay; rows that repeat an id and text are one document and don't remove each
-other's lines; null ids come last; an empty table gives no rows. Words and lines are told apart by 61- and 64-bit hashes.
+other's lines; null ids come last; an empty table gives no rows. Words and lines are told apart by 57- and 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, stored
+from .common import BLANKS, SPACE, discard, free_names, stored
 
-THRESHOLD = 0.8
+#: The least similarity, as a fraction of whole numbers.
+MORE, OF = 4, 5
+THRESHOLD = MORE / OF
 MIN_CHARS = 20
 #: Word buckets of the rarity table are 2 ** RANK_BITS: it is a constant inside the plan, so it has to stay small. Any table gives the same result.
 RANK_BITS = 17
-#: A bucket's rank is how many of these multiples of the median bucket it exceeds.
-RANK_STEPS = (1, 4, 32)
 #: Lines of more words have a second set of parity bits, of half of their words: 64 bits would not tell them apart.
 LONG_LINE = 64
-CROWD = 32
-#: Words of this rank or above are salted.
-HOT_RANK, SALTS = 3, 16
-#: The most repeated lines, at most so many, are left to their first occurrence before they are cut into words.
+CROWD, LEADERS = 512, 4
+#: Lines of a word that one task may take.
+PART_ROWS = 1 << 18
+#: Where more lines are repeated than BROADCAST_ROWS, so many of the most repeated ones are left to their first occurrence by a broadcast, the others by a shuffle.
 HOT_LINES = 20_000
 #: Tables of keys up to this many rows are sent to every executor (some 50 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 NULL_ID = (1 << 63) - 1
+ROW = ("line_key", "k", "n", "pos", "p1", "p2")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -47,45 +52,66 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _id_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(k, h, line_no, line, line_key) of every line that takes part."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    long = (F.length("line") >= MIN_CHARS) & F.col("line").rlike(WORD)
+    # in a select of its own, so that the hash of a text is not computed for each of its lines
+    own = docs.select(_id_key().alias("k"), F.xxhash64("text").alias("h"), "text")
+    rows = own.select("k", "h", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    long = (F.length("line") >= MIN_CHARS) & (F.ltrim("line", F.lit(BLANKS)) != "")
     return rows.where(long).withColumn("line_key", F.xxhash64("line"))
 
 
-def plain_words(text: Column) -> Column:
-    """The words of a text; empty ones may stand at its ends."""
-    return F.split(text, SPACE)
+def plain_words(line: Column) -> Column:
+    """The words of a line; empty ones may stand anywhere. Splitting at single spaces is cheaper than by an expression."""
+    other = reduce(Column.__or__, [line.contains(c) for c in "\t\v\f\r"])
+    return F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
+def rank_of_count(count: int) -> int:
+    """0..63, two for each doubling."""
+    return min(63, int(2 * math.log2(max(1, count))))
 
 
 def word_ranks(docs: DataFrame) -> Column:
-    """A constant array of packed rarity ranks (0..3, two bits each) of the hash buckets of words, from all words of all texts."""
+    """A constant array of the rarity ranks of the hash buckets of words, from what stands between spaces and line breaks in all texts."""
     n = 1 << RANK_BITS
-    words = docs.select(F.explode(plain_words(F.col("text"))).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     found = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).count().collect()  # at most 2 ** RANK_BITS rows
-    sizes = sorted(r["count"] for r in found)
-    median = sizes[len(sizes) // 2] if sizes else 1
-    packed = [0] * (n // 32)
+    ranks = ["0"] * n
     for r in found:
-        rank = sum(r["count"] > median * step for step in RANK_STEPS)
-        packed[r["b"] >> 5] |= rank << 2 * (r["b"] & 31)
-    longs = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in packed)
-    return F.expr(f"cast(split('{longs}', ',') as array<bigint>)")
+        ranks[r["b"]] = str(rank_of_count(r["count"]))
+    return F.expr(f"cast(split('{','.join(ranks)}', ',') as array<bigint>)")
 
 
 def word_set(line: Column, ranks: Column) -> Column:
     """The line's distinct words as longs, rare ones first: rank in the upper bits, hash below."""
 
     def key(h: Column) -> Column:
-        packed = F.get(ranks, F.shiftright(h, 5).bitwiseAND(F.lit((1 << RANK_BITS - 5) - 1)).cast("int"))
-        rank = F.call_function("shiftright", packed, h.bitwiseAND(F.lit(31)).cast("int") * 2).bitwiseAND(F.lit(3))
-        return F.shiftleft(rank, 61).bitwiseOR(F.shiftrightunsigned(h, 3))
+        rank = F.get(ranks, h.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int"))
+        return F.shiftleft(rank, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     hashes = F.transform(F.array_remove(plain_words(line), ""), lambda w: F.xxhash64(w))
     return F.sort_array(F.transform(F.array_distinct(hashes), key))
 
 
+def _rank(word: Column) -> Column:
+    return F.shiftrightunsigned(word, 57)
+
+
+def is_hot(word: Column) -> Column:
+    """Whether so many lines may hold the word that they are dealt over several parts."""
+    return _rank(word) >= rank_of_count(PART_ROWS)
+
+
+def parts_of(word: Column) -> Column:
+    """The number of parts of a hot word: by the largest count of its rank."""
+    return F.ceil(F.pow(F.lit(2.0), (_rank(word) + 1) / 2) / PART_ROWS).cast("int")
+
+
 def _parity(words: Column) -> Column:
     """64 bits, of which each word flips one."""
     one = F.lit(1).cast("long")
@@ -99,95 +125,131 @@ def _once(df: DataFrame, **made: Column) -> DataFrame:
 
 
 def prefixes(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(word, line_key, k, n, pos, p1, p2): a row for each prefix word of each line."""
+    """(meet, word, line_key, k, n, pos, p1, p2): a row for each prefix word of each line; meet names the word, or the line's part of it."""
     sets = _once(lines.select("line_key", "k", "line"), words=word_set(F.col("line"), ranks)).drop("line")
     n = F.size("words")
     half = F.when(n > LONG_LINE, _parity(F.filter("words", lambda w: F.shiftright(w, 12).bitwiseAND(F.lit(1)) == 1)))
-    prefix = F.slice("words", F.lit(1), n - F.ceil(n * THRESHOLD - 1e-9).cast("int") + 1)
+    prefix = F.slice("words", F.lit(1), F.floor(n * (OF - MORE) / OF + 1e-9).cast("int") + 1)
     sets = sets.select("line_key", "k", n.alias("n"), _parity(F.col("words")).alias("p1"), F.coalesce(half, F.lit(0).cast("long")).alias("p2"), prefix.alias("prefix"))
-    return sets.select("line_key", "k", "n", "p1", "p2", F.posexplode("prefix").alias("pos", "word"))
+    rows = sets.select("line_key", "k", "n", "p1", "p2", F.posexplode("prefix").alias("pos", "word"))
+    word = F.col("word")
+    meet = F.when(is_hot(word), _meet(word, F.pmod("line_key", parts_of(word)).cast("int"))).otherwise(word)
+    return rows.select(F.coalesce(meet, F.lit(0).cast("long")).alias("meet"), "word", *ROW)
 
 
 def may_match(a, b) -> Column:
-    """Length, positional and parity filters of two prefix rows, given as functions from a column's name."""
+    """Length, positional and parity filters of two prefix rows, given as functions from a column's name.
+
+    In whole numbers: with Jaccard MORE / OF at least, MORE + OF times the shared words are at least MORE times both sizes, and
+    MORE + OF times the words of only one side are at most OF - MORE times both sizes.
+    """
     na, nb = a("n"), b("n")
-    least = F.ceil((na + nb) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
-    close = (F.least(na, nb) >= F.greatest(na, nb) * THRESHOLD - 1e-9) & (F.least(na - a("pos"), nb - b("pos")) >= least)
+    both, every = na + nb, MORE + OF
+    close = (na * MORE <= nb * OF) & (nb * MORE <= na * OF) & ((na - a("pos")) * every >= both * MORE) & ((nb - b("pos")) * every >= both * MORE)
     whole, half = a("p1").bitwiseXOR(b("p1")), a("p2").bitwiseXOR(b("p2"))
     apart = F.when((na > LONG_LINE) & (nb > LONG_LINE), F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
-    return close & (apart <= na + nb - 2 * least)
+    return close & (apart * every <= both * (OF - MORE))
 
 
-def _meet(word: Column, salt: Column) -> Column:
-    """The part of a hot word that a salt names; kept apart from the words themselves, which are not negative."""
-    return F.xxhash64(word, salt).bitwiseOR(F.lit(-(1 << 63)))
+def _meet(word: Column, part: Column) -> Column:
+    """The name of a part of a word; kept apart from the words themselves, which are not negative."""
+    return F.xxhash64(word, part).bitwiseOR(F.lit(-(1 << 63)))
 
 
-def _pairs(asking: DataFrame, all_rows: DataFrame, on: str) -> DataFrame:
-    """(a, b): rows of asking with earlier rows of all_rows that meet at `on` and pass the filters."""
-    names = ["line_key", "k", "n", "pos", "p1", "p2"]
-    left, right = asking.select(on, *[F.col(c).alias(f"a_{c}") for c in names]), all_rows.select(on, *[F.col(c).alias(f"b_{c}") for c in names])
-    earlier = (F.col("b_k") <= F.col("a_k")) & (F.col("a_line_key") != F.col("b_line_key"))
-    met = left.join(right, on).where(earlier & may_match(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
-    return met.select(F.col("a_line_key").alias("a"), F.col("b_line_key").alias("b"))
+def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+    return rows.select(F.col("meet").alias(f"{s}_meet"), F.col("word").alias(f"{s}_word"), *[F.col(c).alias(f"{s}_{c}") for c in ROW], *more)
 
 
-def _verified(lines: DataFrame, pairs: DataFrame, firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(a) of the pairs whose sets are similar and whose b comes first."""
+def _fits() -> Column:
+    """For rows a and b that meet: b is of another line, comes first and may match."""
+    same_word = F.col("a_word").bitwiseXOR(F.col("b_word")) == 0  # not an equality, which Spark would shuffle by
+    order = (F.col("b_k") <= F.col("a_k")) & (F.col("a_line_key") != F.col("b_line_key")) & same_word
+    return order & may_match(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+
+
+def met_rows(rows: DataFrame) -> DataFrame:
+    """(meet, word, a_line_key, ..., crowd, b_line_key), in one pass over the prefix rows: pairs of small groups, and each row of a crowd once, without a partner."""
+    seen = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("meet"))).where("size > 1")
+    seen = seen.withColumn("crowd", (F.col("size") > CROWD) | is_hot(F.col("word"))).drop("size")
+    # both sides read one shuffle and stay sorted by meet; crowds have no rows on the right
+    left, right = _side(seen, "a", "crowd"), _side(seen.where(~F.col("crowd")), "b")
+    joined = left.join(right, (F.col("a_meet") == F.col("b_meet")) & _fits(), "left").where(F.col("crowd") | F.col("b_line_key").isNotNull())
+    return joined.select("a_meet", "a_word", *[f"a_{c}" for c in ROW], "crowd", "b_line_key")
+
+
+def leader_pairs(crowds: DataFrame) -> DataFrame:
+    """(a, b): the rows of crowds with those of their LEADERS that come first and may match."""
+    over, out, free = Window.partitionBy("meet"), crowds, F.lit(True)
+    leader = F.struct("k", *[c for c in ROW if c != "k"])
+    for i in range(LEADERS):
+        out = out.withColumn("free", free).withColumn(f"first{i}", F.min(F.when(F.col("free"), leader)).over(over))
+        first = F.col(f"first{i}")
+        near = (first["k"] <= F.col("k")) & (first["line_key"] != F.col("line_key")) & may_match(F.col, lambda c, first=first: first[c])
+        out = out.withColumn(f"near{i}", F.coalesce(near, F.lit(False)))
+        free = F.col("free") & ~F.col(f"near{i}") & (first["line_key"] != F.col("line_key"))
+    tried = F.array_compact(F.array(*[F.when(F.col(f"near{i}"), F.col(f"first{i}.line_key")) for i in range(LEADERS)]))
+    return out.select(F.col("line_key").alias("a"), F.explode(tried).alias("b")).distinct()
+
+
+def crowd_pairs(asking: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(a, b): all pairs that may match of the asking rows with the rows of crowds; an asking row goes to all parts of its word."""
+    word = F.col("word")
+    meets = F.when(is_hot(word), F.transform(F.sequence(F.lit(0), parts_of(word) - 1), lambda i: _meet(word, i))).otherwise(F.array("meet"))
+    left, right = _side(asking.withColumn("meet", F.explode(meets)), "a"), _side(crowds, "b")
+    return left.join(right, (F.col("a_meet") == F.col("b_meet")) & _fits()).select(F.col("a_line_key").alias("a"), F.col("b_line_key").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, ranks: Column) -> DataFrame:
+    """(a) of the pairs whose sets are similar and whose b comes first. Only documents that hold a line of a pair are cut into lines again."""
     keys = pairs.select(F.col("a").alias("line_key")).union(pairs.select("b")).distinct()
     places = stored(keys.join(firsts, "line_key").select("line_key", "f"), "places")
     at = places.select("line_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.line_no").alias("line_no"))
-    texts = lines.join(_small(at), ["line_key", "k", "h", "line_no"]).dropDuplicates(["line_key"])
+    at, (k,) = _small(at), free_names(docs, "line_k")
+    holders = docs.withColumn(k, _id_key()).join(_small(stored(at.select(F.col("k").alias(k)).distinct(), "holders")), k, "left_semi")
+    texts = lines_of(holders).join(at, ["line_key", "k", "h", "line_no"]).dropDuplicates(["line_key"])
     sets = stored(texts.select("line_key", F.struct("k", "h", "line_no").alias("f"), word_set(F.col("line"), ranks).alias("words")), "sets")
     side = lambda c: sets.select(F.col("line_key").alias(c), F.col("f").alias(f"f{c}"), F.col("words").alias(f"w{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("fb") < F.col("fa"))
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common / (F.size("wa") + F.size("wb") - common) >= THRESHOLD).select("a").distinct()
+    found = stored(both.where(common / (F.size("wa") + F.size("wb") - common) >= THRESHOLD).select("a").distinct(), "verified")
+    discard(places), discard(sets)
+    return found
+
+
+def first_occurrences(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The lines without the later occurrences of repeated ones. The most repeated ones go by a broadcast, so that none of them makes a large group."""
+    repeated = stored(firsts.where("cnt > 1").select("line_key", F.col("f").alias("first_f"), "cnt"), "repeated")
+    own = F.col("first_f").isNull() | (F.col("first_f") == F.struct("k", "h", "line_no"))
+    if repeated.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(repeated.drop("cnt")), "line_key", "left").where(own).drop("first_f")
+    most = stored(repeated.orderBy(F.desc("cnt"), "line_key").limit(HOT_LINES).drop("cnt"), "most")
+    fewer = lines.join(F.broadcast(most), "line_key", "left").where(own).drop("first_f")
+    return fewer.join(repeated.drop("cnt"), "line_key", "left").where(own).drop("first_f")
 
 
 def matched_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(line_key) of the different lines that have a similar earlier one."""
-    spark = docs.sparkSession
+    """(a): the different lines that have a similar earlier one."""
+    docs = docs.select("doc_id", "text")
     ranks = word_ranks(docs)
-    hot = stored(firsts.where("cnt > 8").orderBy(F.desc("cnt"), "line_key").limit(HOT_LINES).select("line_key", F.col("f").alias("hot_f")), "hot")
-    fewer = lines.join(F.broadcast(hot), "line_key", "left").where(F.col("hot_f").isNull() | (F.col("hot_f") == F.struct("k", "h", "line_no")))
-    rows = prefixes(fewer, ranks)
-    is_hot = F.shiftrightunsigned("word", 61) >= HOT_RANK
-    rows = rows.withColumn("meet", F.when(is_hot, _meet(F.col("word"), F.pmod("line_key", F.lit(SALTS)).cast("int"))).otherwise(F.coalesce("word", F.lit(0).cast("long"))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(parts, "meet").groupBy("meet", "word", "line_key", "n", "pos", "p1", "p2").agg(F.min("k").alias("k"))
-    first = F.min(F.struct("k", "line_key", "n", "pos", "p1", "p2")).over(Window.partitionBy("meet", "n"))
-    seen = met.withColumn("first", first).withColumn("crowd", F.count(F.lit(1)).over(Window.partitionBy("meet")) > CROWD)
-    near_first = F.col("crowd") & (F.col("first.k") < F.col("k")) & may_match(F.col, lambda c: F.col(f"first.{c}"))
-    covered = seen.where(near_first).select(F.col("line_key").alias("a"), F.col("first.line_key").alias("b"), F.col("word").alias("only_first"))
-    asking = seen.where(~near_first)
-    # met stands unfiltered on the right, so that its shuffle is the one that the window reads
-    spread = asking.where(is_hot).withColumn("meet", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: _meet(F.col("word"), i))))
-    others = _pairs(asking.where(~is_hot), met, "meet").union(_pairs(spread, met, "meet"))
-    # only_first: the words at which a was held against b alone
-    pairs = stored(covered.union(others.select("a", "b", F.lit(None).cast("long"))).groupBy("a", "b").agg(F.collect_set("only_first").alias("only_first")), "pairs")
-    done = stored(_verified(lines, pairs.select("a", "b"), firsts, ranks), "verified")
-    held = pairs.where(F.size("only_first") > 0).join(done, "a", "left_anti")
-    open_ = stored(held.select(F.col("a").alias("line_key"), F.explode("only_first").alias("word")).distinct(), "open")
-    if open_.isEmpty():
-        return done
-    # lines that only looked like the first of a crowd: at the words of those crowds, against all lines
-    places = stored(open_.select("line_key").distinct().join(firsts, "line_key").select("line_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.line_no").alias("line_no")), "places")
-    found = prefixes(lines.join(_small(places), ["line_key", "k", "h", "line_no"]).dropDuplicates(["line_key"]), ranks)
-    again = stored(found.join(open_, ["line_key", "word"], "left_semi"), "again")
-    at_words = prefixes(fewer, ranks).join(_small(stored(again.select("word").distinct(), "words")), "word", "left_semi")
-    more = stored(_pairs(again, at_words, "word").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return done.union(_verified(lines, more, firsts, ranks)).distinct()
+    met = stored(met_rows(prefixes(first_occurrences(lines, firsts), ranks)), "met")
+    plain = met.where("b_line_key IS NOT NULL").select(F.col("a_line_key").alias("a"), F.col("b_line_key").alias("b"))
+    crowds = met.where("crowd").select(*[F.col(f"a_{c}").alias(c) for c in ("meet", "word", *ROW)])
+    pairs = stored(plain.union(leader_pairs(crowds)).distinct(), "pairs")
+    done = _verified(docs, pairs, firsts, ranks)
+    asking = crowds.join(done.withColumnRenamed("a", "line_key"), "line_key", "left_anti")
+    more = stored(crowd_pairs(asking, crowds).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(met), discard(pairs)
+    return done if more.isEmpty() else done.union(_verified(docs, more, firsts, ranks)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(k, h, removed): sorted numbers of each document's removed lines, for documents that lose any."""
     lines = lines_of(docs)
     firsts = stored(lines.groupBy("line_key").agg(F.min(F.struct("k", "h", "line_no")).alias("f"), F.count(F.lit(1)).alias("cnt")), "firsts")
-    matched = stored(matched_lines(docs, lines, firsts).select(F.col("a").alias("line_key"), F.lit(True).alias("matched")), "matched")
+    matched = matched_lines(docs, lines, firsts).select(F.col("a").alias("line_key"), F.lit(True).alias("matched"))
     marked = firsts.join(matched, "line_key", "left").where((F.col("cnt") > 1) | F.col("matched"))
     marked = stored(marked.select("line_key", "f", F.coalesce("matched", F.lit(False)).alias("matched")), "marked")
-    gone = lines.select("k", "h", "line_no", "line_key").join(marked, "line_key").where(F.col("matched") | (F.col("f") != F.struct("k", "h", "line_no")))
+    gone = lines.select("k", "h", "line_no", "line_key").join(_small(marked), "line_key").where(F.col("matched") | (F.col("f") != F.struct("k", "h", "line_no")))
     return gone.groupBy("k", "h").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
@@ -200,20 +262,27 @@ def without(text: Column, removed: Column) -> Column:
     return F.array_join(F.flatten(runs), "\n")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with `text` without its removed lines; other columns and rows stay."""
-    names = docs.columns
-    gone = stored(removed_lines(docs).select(F.col("k").alias("_line_k"), F.col("h").alias("_line_h"), "removed").withColumnRenamed("removed", "_line_removed"), "removed")
-    keyed = docs.withColumns({"_line_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_line_h": F.xxhash64("text")})
-    joined = keyed.join(gone, ["_line_k", "_line_h"], "left")
-    text = F.when(F.col("_line_removed").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_line_removed")))
-    return joined.withColumns({"text": text, "_line_n": F.coalesce(F.size("_line_removed"), F.lit(0))}).select(*[F.col(f"`{c}`") for c in names], "_line_n")
+def dedup(docs: DataFrame, length: str | None = None, count: str | None = None) -> DataFrame:
+    """docs with `text` without its removed lines; other columns and rows stay.
+
+    length names a column that is to follow the length of texts that change; count a new one for the number of removed lines.
+    """
+    k, h, removed = free_names(docs, "line_k", "line_h", "line_removed")
+    gone = stored(removed_lines(docs).select(F.col("k").alias(k), F.col("h").alias(h), F.col("removed").alias(removed)), "removed")
+    lost = gone.agg(F.sum(F.size(removed))).first()[0] or 0
+    keyed = docs.withColumns({k: _id_key(), h: F.xxhash64("text")})
+    joined = keyed.join(F.broadcast(gone) if lost <= BROADCAST_ROWS else gone, [k, h], "left")
+    made = {"text": F.when(F.col(removed).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(removed)))}
+    if length:
+        made[length] = F.when(F.col(removed).isNull(), F.col(length)).otherwise(F.length(made["text"]).cast(docs.schema[length].dataType))
+    if count:
+        made[count] = F.coalesce(F.size(removed), F.lit(0)).cast("long")
+    return joined.withColumns(made).select(*[F.col(f"`{c}`") for c in docs.columns], *([count] if count else []))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """doc_id, text after removal and the number of removed lines of every row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return dedup(rows).select("doc_id", "text", F.col("_line_n").cast("long").alias("n_removed"))
+    return dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), count="n_removed")
 
 
 #: The same in DuckDB: distinct lines, a plain prefix filter by exact rarity, Jaccard on lists.

@@ -187,6 +187,31 @@ def test_crowds_of_near_copies(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got if r["n_removed"]) == [*range(1, 81), *range(161, 201)]
 
 
+@pytest.mark.parametrize(("part_rows", "crowd", "leaders", "broadcast"), [(1 << 18, 3, 1, 10**6), (4, 3, 2, 10**6), (16, 512, 4, 0)])
+def test_lines_over_parts_crowds_and_shuffles(spark, monkeypatch, part_rows, crowd, leaders, broadcast):
+    """Small bounds send the same lines down the other ways; families of near copies meet at common words."""
+    for name, value in {"PART_ROWS": part_rows, "CROWD": crowd, "LEADERS": leaders, "BROADCAST_ROWS": broadcast, "HOT_LINES": 2}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = np.random.default_rng(8)
+    stems = [[f"s{k}w{i}" for i in range(18)] for k in range(3)]
+    lines = []
+    for i in range(240):
+        words = ["the", "and", *stems[i % 3]]
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(len(words)))] = f"new{rng.integers(40)}"
+        lines.append(" ".join(words))
+    sets = [set(x.split()) for x in lines]
+    wanted = [i for i, s in enumerate(sets) if any(len(s & t) >= line_dedup.THRESHOLD * len(s | t) for t in sets[:i])]
+    got = line_dedup.deduped(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["n_removed"]) == wanted
+
+
+def test_line_columns_may_be_called_like_computed_ones(spark):
+    df = spark.createDataFrame([(1, "one line of text that is long enough", 9)], "doc_id long, text string, _line_n int")
+    df = df.withColumns({"line_k": F.lit(1), "line_h": F.lit(2), "_line_removed": F.lit(3), "line_removed": F.lit(4)})
+    assert line_dedup.dedup(df).collect() == df.collect()
+
+
 def test_quality_counts(spark, sf_dir, texts):
     for r in queries.op6_quality_rules(spark, sf_dir).collect():
         t = texts[r["doc_id"]][0]
