@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomline.llm import line_dedup, mixing, packing, quality, simhash
 from loomline.llm.common import stored
@@ -17,8 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are similar to an earlier line of the corpus; n_chars follows the text."""
-    out = line_dedup.dedup(docs)
-    return out.withColumn("n_chars", F.when(F.col("_line_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return line_dedup.dedup(docs, length="n_chars")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
