@@ -169,8 +169,8 @@ def _fits() -> Column:
 
 def met_rows(rows: DataFrame) -> DataFrame:
     """(meet, word, a_line_key, ..., crowd, b_line_key), in one pass over the prefix rows: pairs of small groups, and each row of a crowd once, without a partner."""
-    seen = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("meet"))).where("size > 1")
-    seen = seen.withColumn("crowd", (F.col("size") > CROWD) | is_hot(F.col("word"))).drop("size")
+    seen = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("meet"))).withColumn("crowd", (F.col("size") > CROWD) | is_hot(F.col("word")))
+    seen = seen.where(F.col("crowd") | (F.col("size") > 1)).drop("size")
     # both sides read one shuffle and stay sorted by meet; crowds have no rows on the right
     left, right = _side(seen, "a", "crowd"), _side(seen.where(~F.col("crowd")), "b")
     joined = left.join(right, (F.col("a_meet") == F.col("b_meet")) & _fits(), "left").where(F.col("crowd") | F.col("b_line_key").isNotNull())
