@@ -17,11 +17,13 @@ _fallback: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one where that is unset and driver and executors are one machine."""
     global _fallback
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _fallback is None:
         _fallback = "file://" + tempfile.mkdtemp(prefix="loomline-")
     return _fallback

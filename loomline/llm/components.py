@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is written to the shared folder; only two counts per round reach the driver. Minima are taken by
     partial aggregation, so a node with very many edges is summed up before it is shuffled. An edge table without
-    rows gives none; edges from a node to itself or repeated ones change nothing.
+    rows gives none; a graph that is not settled after max_rounds raises; edges from a node to itself or repeated ones change nothing.
     """
     now = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
     mark = None
@@ -38,5 +38,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (sums["n"], sums["h"]) == mark or not sums["n"]:
             break
         mark = (sums["n"], sums["h"])
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

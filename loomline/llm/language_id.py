@@ -29,26 +29,44 @@ _letter = re.compile(r"[^\W\d_]")
 _mix = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
-def gram_ids(text: str) -> np.ndarray:
-    """Bucket of every 1-, 2- and 3-gram of the lower-cased text with a space at either end."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    parts, h = [], np.zeros(len(points), np.uint32)
+def _padded(text: str) -> np.ndarray:
+    """Code points of the lower-cased text with a space at either end."""
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _grams(points: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Bucket of every 1-, 2- and 3-gram that ends at start .. stop - 1."""
+    parts, before = [], min(start, len(ORDERS) - 1)
+    points = points[start - before : stop]
     for k in range(len(ORDERS)):
-        h = (h[: len(points) - k] * _mix[0] + points[k:] + np.uint32(k + 1)) if k else points * _mix[1] + np.uint32(1)
-        x = h ^ (h >> np.uint32(15))
-        x = x * _mix[2]
+        h = (h[: len(points) - k] * _mix[0] + points[k:] + np.uint32(k + 1)) if k else points * _mix[1] + np.uint32(1)  # noqa: F821
+        x = h[max(0, before - k) :]
+        x = (x ^ (x >> np.uint32(15))) * _mix[2]
         parts.append((x >> np.uint32(17)).astype(np.int32))
     return np.concatenate(parts)
 
 
+def gram_ids(text: str) -> np.ndarray:
+    """Bucket of every 1-, 2- and 3-gram of the lower-cased text with a space at either end."""
+    points = _padded(text)
+    return _grams(points, 0, len(points))
+
+
+def gram_blocks(text: str) -> Iterator[np.ndarray]:
+    """The same in blocks; grams that cross the border of two blocks come with the second."""
+    points = _padded(text)
+    for i in range(0, len(points), BLOCK):
+        yield _grams(points, i, min(i + BLOCK, len(points)))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             t = text.as_py() or ""
-            for i in range(0, len(t), BLOCK):
-                total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                total += np.bincount(gram_ids(t[i : i + BLOCK]), minlength=BUCKETS)
+            total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for ids in gram_blocks(t):
+                total += np.bincount(ids, minlength=BUCKETS)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
@@ -75,11 +93,10 @@ def train(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, alpha: floa
 def predict_text(text: str | None, langs: list[str], matrix: np.ndarray) -> tuple[str, float]:
     if not text or not langs or not _letter.search(text):
         return "und", 0.0
-    total, n = np.zeros(len(langs)), 0
-    for i in range(0, len(text), BLOCK):
-        ids = gram_ids(text[i : i + BLOCK])
-        n += len(ids)
-        total += np.bincount(ids, minlength=BUCKETS).astype(np.float32) @ matrix if len(ids) > BUCKETS else matrix[ids].sum(0, dtype=np.float64)
+    total = np.zeros(len(langs))
+    for ids in gram_blocks(text):
+        # the same sum in double precision, by bucket where that is shorter
+        total += np.bincount(ids, minlength=BUCKETS) @ matrix.astype(np.float64) if len(ids) > BUCKETS else matrix[ids].sum(0, dtype=np.float64)
     best = int(total.argmax())
     return langs[best], float(1 / np.exp(total - total[best]).sum())
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, free_names, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
@@ -83,7 +83,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, budget: float | None = None) ->
         if done and done % ROUNDS == 0:
             fitted = stored(fitted, "raked")
         for d in DIMENSIONS:
-            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d))) if budget is None else _bounded_step(fitted, d, budget)
+            fitted = fitted.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"target_{d}"), F.sum("weight").over(Window.partitionBy(d))), F.lit(0.0))) if budget is None else _bounded_step(fitted, d, budget)
     return fitted
 
 
@@ -93,8 +93,8 @@ def _bounded_step(fitted: DataFrame, d: str, budget: float) -> DataFrame:
     full = F.col("weight") >= most * (1 - 1e-12)
     sums = {"_held": F.when(full, most).otherwise(0.0), "_free": F.when(full, 0.0).otherwise(F.col("weight")), "_whole": F.col("weight")}
     fitted = fitted.withColumns({name: F.sum(c).over(value) for name, c in sums.items()})
-    freely = F.least(most, F.col("weight") * (target - F.col("_held")) / F.col("_free"))
-    moved = F.when(target < F.col("_held"), F.col("weight") * target / F.col("_whole")).when(full, most).otherwise(freely)
+    freely = F.least(most, F.coalesce(F.try_divide(F.col("weight") * (target - F.col("_held")), F.col("_free")), F.lit(0.0)))
+    moved = F.when(target < F.col("_held"), F.col("weight") * F.try_divide(target, F.col("_whole"))).when(full, most).otherwise(freely)
     return fitted.withColumn("weight", moved).drop(*sums)
 
 
@@ -144,14 +144,15 @@ def sampled(docs: DataFrame, **settings) -> DataFrame:
     each = described(docs)
     cells = stored(each.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = fit(cells, settings.get("targets"), settings.get("temper", TEMPER), settings.get("budget", BUDGET), settings.get("rounds", ROUNDS), settings.get("bounded", True))
-    table = fitted.withColumnsRenamed({c: f"_mix_{c}" for c in fitted.columns})
+    names = dict(zip([*DIMENSIONS, "prob"], free_names(docs, *[f"mix_{c}" for c in (*DIMENSIONS, "prob")]), strict=True))
+    table = fitted.withColumnsRenamed(names)
     text = F.coalesce("text", F.lit(""))
     keyed = {"source": F.coalesce(F.col("source").cast("string"), F.lit("?")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("?")), "topic": topic_of(text)}
     n = table.count()
-    rows = docs.withColumns({f"_mix_{d}": c for d, c in keyed.items()})
-    joined = rows.join(F.broadcast(table) if n <= MAX_CELLS_SENT else table, [f"_mix_{d}" for d in DIMENSIONS])
+    rows = docs.withColumns({names[d]: c for d, c in keyed.items()})
+    joined = rows.join(F.broadcast(table) if n <= MAX_CELLS_SENT else table, [names[d] for d in DIMENSIONS])
     has_word = F.col("text").rlike(WORD)
-    return joined.where(has_word & (uniform(F.col("doc_id")) < F.col("_mix_prob"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.where(has_word & (uniform(F.col("doc_id")) < F.col(names["prob"]))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Cells up to this many are sent to every executor (some 10 MB); more are joined by a shuffle.

@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,18 +198,22 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     plan = spark.sparkContext.broadcast(best_fit_plan(totals, capacity))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids + ", sequence_id long, offset long"
 
-    def place(own: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    def place(own: pa.Table, starts: pa.Table) -> pa.Table:
         steps, _ = plan.value
-        rank = own.groupby("length").cumcount().to_numpy() + own["length"].map(starts.set_index("length")["first_rank"]).to_numpy(np.int64)
-        length = own["length"].to_numpy(np.int64)
+        length = own.column("length").to_numpy()
+        first = np.zeros(capacity + 1, np.int64)
+        first[starts.column("length").to_numpy()] = starts.column("first_rank").to_numpy()
+        by_length = np.argsort(length, kind="stable")
+        kinds, at, sizes = np.unique(length[by_length], return_index=True, return_counts=True)
+        rank = np.empty(len(length), np.int64)
+        rank[by_length] = np.arange(len(length)) - np.repeat(at, sizes) + np.repeat(first[kinds], sizes)
         big = np.int64(1) << 50
         order = np.argsort((capacity - steps[:, 0]) * big + steps[:, 1], kind="stable")
         steps = steps[order]
         at = np.searchsorted((capacity - steps[:, 0]) * big + steps[:, 1], (capacity - length) * big + rank, "right") - 1
         k = rank - steps[at, 1]
-        own = own.drop(columns="part")
-        own["sequence_id"] = steps[at, 2] + k // steps[at, 3]
-        own["offset"] = steps[at, 4] + k % steps[at, 3] * length
-        return own
+        own = own.drop_columns("part")
+        own = own.append_column("sequence_id", pa.array(steps[at, 2] + k // steps[at, 3]))
+        return own.append_column("offset", pa.array(steps[at, 4] + k % steps[at, 3] * length))
 
-    return made.groupBy("part").cogroup(ranks.groupBy("part")).applyInPandas(place, schema)
+    return made.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(place, schema)

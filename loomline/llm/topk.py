@@ -3,7 +3,7 @@
 Every vector is cut into 1, 2, 4, ... equal segments; of each segment the mean and deviation are kept. By the
 Cauchy-Schwarz inequality the inner product of two segments of m components is at most
 m * (mean_a * mean_b + dev_a * dev_b), so the statistics bound every score from above - equivalently, with the norms known,
-the distance from below. Bounds are taken coarse to fine; candidates under the k-th best score known are left out,
+the distance from below. Bounds are taken coarse to fine: candidates under the k-th best score known are left out after each level,
 and exact integer products of the survivors decide.
 
 Queries and candidates are dealt in blocks and every (query block, candidate block) is one group, so the work is
@@ -11,7 +11,7 @@ spread evenly whatever the number of queries; a query keeps k rows per candidate
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; only vectors of
 the query's own dimension are its candidates; ties go to the smaller vec_id; a repeated id is a candidate per row,
-but a query never meets its own id; a query without candidates gives no row; an empty table gives none.
+but a query never meets its own id; query rows that repeat id and vector are one query, other vectors of one id are queries of their own; a query without candidates gives no row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -69,29 +69,28 @@ def block_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
     exact = np.float64 if big < EXACT else object if big >= 1 << 62 else np.int64
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     qx, cx = q.astype(exact), c.astype(exact)
-    levels = [(segment_stats(qf, p), segment_stats(cf, p)) for p in _resolutions(dim)]
-    slack = 1e-9 * (np.linalg.norm(qf, axis=1, keepdims=True) * np.linalg.norm(cf, axis=1).max(initial=0)) + 1e-6
+    levels = [tuple(np.concatenate(segment_stats(x, p)[:2], 1) for x in (qf, cf)) for p in _resolutions(dim)]
+    slack = 1e-9 * (np.linalg.norm(qf, axis=1) * np.linalg.norm(cf, axis=1).max(initial=0)) + 1e-6
     out = []
     for at in range(0, len(q), 128):
-        part = slice(at, at + 128)
-        bound = None
-        for (qm, qd, _), (cm, cd, _) in levels:
-            new = np.concatenate([qm[part], qd[part]], 1) @ np.concatenate([cm, cd], 1).T + slack[part]
-            bound = new if bound is None else np.minimum(bound, new)
-        for i in range(bound.shape[0]):
-            row, own = bound[i], cid == qid[at + i]
-            row[own] = -np.inf
-            n = len(cid) - int(own.sum())
-            if n <= 0:
+        coarse = levels[0][0][at : at + 128] @ levels[0][1].T
+        for i in range(at, at + len(coarse)):
+            row = coarse[i - at] + slack[i]
+            row[cid == qid[i]] = -np.inf
+            live = np.flatnonzero(row > -np.inf)
+            if not len(live):
                 continue
-            first = np.argpartition(-row, min(4 * k, len(row)) - 1)[: 4 * k]
-            first = first[~own[first]]
-            scores = cx[first] @ qx[at + i]
-            least = np.sort(scores)[-k] if len(scores) >= k else -np.inf
-            live = np.flatnonzero((row >= least) & ~own) if least != -np.inf else np.flatnonzero(~own)
-            exact_scores = cx[live] @ qx[at + i]
-            best = np.lexsort((cid[live], -exact_scores))[:k]
-            out += [(int(qid[at + i]), int(cid[live[b]]), int(exact_scores[b])) for b in best]
+            least = -np.inf
+            if len(live) > k:  # exact scores of a few that look best give the k-th best so far
+                few = np.argpartition(-row, min(4 * k, len(live)) - 1)[: 4 * k]
+                few = few[row[few] > -np.inf]
+                least = np.sort(cx[few] @ qx[i])[-k]
+                live = live[row[live] >= least]
+            for qs, cs in levels[1:]:  # finer bounds of those that are left
+                live = live[cs[live] @ qs[i] + slack[i] >= least]
+            scores = cx[live] @ qx[i]
+            best = np.lexsort((cid[live], -scores))[:k]
+            out += [(int(qid[i]), int(cid[live[b]]), int(scores[b])) for b in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
@@ -101,20 +100,25 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> Dat
     rows = stored(rows.select("vec_id", scaled().alias("v")).withColumn("dim", F.size("v")), "vectors")
     n = rows.count()
     n_cand, n_query = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-n // (query_every * QUERY_BLOCK)))
-    queries = rows.where(F.col("vec_id") % query_every == 0)
+    queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "v"])
     blocks = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
     c = rows.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_cand)).cast("int").alias("cb"), blocks(n_query, "qb"))
     q = queries.select("vec_id", "v", "dim", F.pmod(F.xxhash64("v", "vec_id"), F.lit(n_query)).cast("int").alias("qb"), blocks(n_cand, "cb"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        dim_q, dim_c = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        return block_top(left["vec_id"].to_numpy(), dim_q, right["vec_id"].to_numpy(), dim_c, k)
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "vector": []}).astype("int64")]
+        if len(left) and len(right):
+            ids, candidates = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
+            for _, own in left.groupby(left.groupby("vec_id").cumcount()):  # vectors that share an id are queries of their own
+                best = block_top(own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy()), ids, candidates, k)
+                best["vector"] = best["query_id"].map(own.set_index("vec_id")["vector"])
+                found.append(best.astype("int64"))
+        return pd.concat(found)
 
     keys = ["cb", "qb", "dim"]
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    q = q.withColumn("vector", F.xxhash64("v"))
+    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long, vector long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
