@@ -3,8 +3,9 @@
 The page is read into a light tree (unclosed paragraphs and list items are closed as browsers do). Every paragraph gives
 points for its length and commas to its ancestors, half as many per step after the first; a container's points are discounted by
 its share of link text. The best container is kept with siblings that score well or read like paragraphs.
-Boilerplate (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) takes no
-part in scoring and is left out wherever it stands.
+Boilerplate (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), known by element,
+role or the words of class and id, takes no part in scoring and is left out wherever it stands; headers and footers of an article are
+its own, and a part that holds nearly all text of a page stays whatever its class.
 
 Defined results: null or empty html, or html without text, gives an empty text of 0 characters; repeated rows are extracted each;
 an empty table gives no rows; extra columns are not read. Time and memory are linear in a page's length.
@@ -13,6 +14,7 @@ an empty table gives no rows; extra columns are not read. Time and memory are li
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -40,28 +42,79 @@ UNLIKELY = frozenset(
 )
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 
-_token = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|xmp|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A part named like boilerplate stays if all other text is less than this share of it.
+LOSS = 0.1
+#: Elements whose content is no markup, or is never shown.
+RAW = frozenset("script style noscript template textarea svg iframe xmp title".split())
+#: Class words that name a part of an article as well as a part of a page.
+ARTICLE_PARTS = frozenset("header masthead banner footer".split())
+
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_quote_or_end = re.compile("[\"'>]")
+_attribute = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.I) for tag in RAW}
 _word = re.compile(r"[a-z]+")
 
 
-def _unlikely(attributes: str) -> bool:
-    for m in _attribute.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and any(w in UNLIKELY for w in _word.findall(value)):
-            return True
-        if name == "role" and value in UNLIKELY_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and ("display:none" in (v := value.replace(" ", "")) or "visibility:hidden" in v):
-            return True
-    return False
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of repeated ones the first holds."""
+    out: dict[str, str] = {}
+    for m in _attribute.finditer(text):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    style = attributes.get("style", "").replace(" ", "")
+    return attributes.get("role") in UNLIKELY_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def _unlikely(attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether class or id name a part of a page that is no article."""
+    words = _word.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    return any(w in UNLIKELY and not (in_article and w in ARTICLE_PARTS) for w in words)
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of each piece of a page, kind being text, open, close or gap. Each character is looked at a fixed number of times, whatever the markup."""
+    at, last_end, last_comment, closes = 0, html.rfind(">"), html.rfind("<!--"), {q: html.rfind(q) for q in "\"'"}
+    quotes = True  # until a tag's quotes swallow the rest of the page
+    while (start := html.find("<", at)) >= 0:
+        name = _name.match(html, start + 1 + html.startswith("/", start + 1)) if start < last_end else None
+        if not name and not html.startswith(("<!", "<?", "</"), start) or start > last_end and not html.startswith("<!--", start):
+            if start > max(last_end, last_comment):
+                break  # no tag can end any more: the rest is text
+            yield "text", "", html[at : start + 1]
+            at = start + 1
+            continue
+        if start > at:
+            yield "text", "", html[at:start]
+        if not name:
+            stop = html.find("-->", start + 4) + 3 if html.startswith("<!--", start) else html.find(">", start) + 1
+            at = stop if stop > 2 else len(html)
+            continue
+        stop, i = -1, name.end()
+        while quotes and (m := _quote_or_end.search(html, i)):
+            if m[0] == ">":
+                stop = m.start()
+                break
+            if m.start() >= closes[m[0]]:
+                break
+            i = html.index(m[0], m.end()) + 1
+        if stop < 0:
+            quotes, stop = quotes and i < last_end, html.find(">", name.end())
+        tag, at = name[0].lower(), stop + 1
+        if html[start + 1] == "/":
+            yield "close", tag, ""
+            continue
+        if tag in RAW:
+            end = _raw_end[tag].search(html, at)
+            at = end.end() if end else len(html)
+            yield "gap", tag, ""
+            continue
+        yield "open", tag, html[name.end() : stop]
+    if at < len(html):
+        yield "text", "", html[at:]
 
 
 class Page:
@@ -69,56 +122,50 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.dropped, self.link = ["#page"], [0], [False], [False]
+        #: whether a node is within an article, its nearest block, and the topmost node above it that only its class or id drops
+        self.in_article, self.block, self.soft = [False], [0], [0]
         self.blocks: list[list[tuple[int, str]]] = []
         self.owner: list[int] = []
         self._read(html)
 
-    def _open(self, tag: str, under: int, attributes: str) -> int:
-        inside_article = self._inside(under, ("article", "main"))
-        drop = tag in DROPPED or tag == "header" and not inside_article or bool(attributes) and tag not in ("html", "body", "article", "main") and _unlikely(attributes)
+    def _open(self, tag: str, under: int, text: str) -> int:
+        attributes, node = _attributes(text) if text else {}, len(self.tag)
+        shell = tag in ("html", "body", "article", "main")
+        hard = tag in DROPPED or tag == "header" and not self.in_article[under] or not shell and _hidden(attributes)
+        soft = not shell and _unlikely(attributes, self.in_article[under])
         self.tag.append(tag)
         self.parent.append(under)
-        self.dropped.append(self.dropped[under] or drop)
+        self.dropped.append(self.dropped[under] or hard)
+        self.soft.append(self.soft[under] or (node if soft else 0))
         self.link.append(self.link[under] or tag == "a")
-        return len(self.tag) - 1
-
-    def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
-        while node:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
-        return False
+        self.in_article.append(self.in_article[under] or tag in ("article", "main"))
+        self.block.append(node if tag in BLOCK else self.block[under])
+        return node
 
     def _read(self, html: str) -> None:
-        stack, parts, at = [0], [], 0
+        stack, parts, opened = [0], [], Counter()
 
         def flush() -> None:
             nonlocal parts
             if parts:
-                k = len(stack) - 1
-                while k and self.tag[stack[k]] not in BLOCK:
-                    k -= 1
-                self.owner.append(stack[k])
+                self.owner.append(self.block[stack[-1]])
                 self.blocks.append(parts)
                 parts = []
 
         def close_to(k: int) -> None:
-            if any(self.tag[n] in BLOCK for n in stack[k:]):
+            gone = [self.tag[n] for n in stack[k:]]
+            if any(t in BLOCK for t in gone):
                 flush()
+            opened.subtract(gone)
             del stack[k:]
 
-        for m in _token.finditer(html):
-            if m.start() > at:
-                parts.append((stack[-1], html[at : m.start()]))
-            at = m.end()
-            name = m[3] or m[6]
-            if not name:
-                if m[1]:
-                    parts.append((stack[-1], " "))
-                continue
-            tag, closing, attributes = name.lower(), m[2] or m[5], m[4] or m[7] or ""
-            if closing:
-                k = len(stack) - 1
+        for kind, tag, rest in tokens(html):
+            if kind == "text":
+                parts.append((stack[-1], rest))
+            elif kind == "gap":
+                parts.append((stack[-1], " "))
+            elif kind == "close":
+                k = len(stack) - 1 if opened[tag] > 0 else 0
                 while k and self.tag[stack[k]] != tag:
                     if tag not in BLOCK and self.tag[stack[k]] in BLOCK:
                         k = 0
@@ -126,40 +173,49 @@ class Page:
                     k -= 1
                 if k:
                     close_to(k)
-                continue
-            if tag in VOID:
+            elif tag in VOID:
                 if tag == "hr":
                     flush()
                 elif tag == "br":
                     parts.append((stack[-1], " "))
-                continue
-            if tag in BLOCK:
-                flush()
-                for k in range(len(stack) - 1, 0, -1):  # an open paragraph or heading ends where a block begins
-                    if self.tag[stack[k]] == "p":
-                        close_to(k)
-                        break
-                    if self.tag[stack[k]] in BLOCK:
-                        break
-                if tag in CLOSES:
-                    ends, stops = CLOSES[tag]
+            else:
+                if tag in BLOCK:
+                    flush()
+                    for k in range(len(stack) - 1, 0, -1) if opened["p"] > 0 else ():  # an open paragraph ends where a block begins
+                        if self.tag[stack[k]] == "p":
+                            close_to(k)
+                            break
+                        if self.tag[stack[k]] in BLOCK:
+                            break
+                    ends, stops = CLOSES.get(tag, ("", ()))
                     found = 0
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if any(opened[t] > 0 for t in ends.split()) else ():
                         if self.tag[stack[k]] in stops:
                             break
                         if self.tag[stack[k]] in ends.split():
                             found = k
                     if found:
                         close_to(found)
-            stack.append(self._open(tag, stack[-1], attributes))
-            if attributes.endswith("/") and tag not in BLOCK:
-                stack.pop()
-        if at < len(html):
-            parts.append((stack[-1], html[at:]))
+                node = self._open(tag, stack[-1], rest)
+                if not rest.endswith("/") or tag in BLOCK:
+                    stack.append(node)
+                    opened[tag] += 1
         flush()
 
+    def settle(self) -> None:
+        """Decide on what only class or id drop: it goes, unless it holds nearly all text that is not dropped otherwise."""
+        inside, outside = Counter(), 0
+        for owner, parts in zip(self.owner, self.blocks, strict=True):
+            if not self.dropped[owner] and not self.link[owner]:
+                n = sum(len(t) for m, t in parts if not self.link[m])
+                inside[self.soft[owner]] += n
+        outside = inside.pop(0, 0)
+        kept = {r for r, n in inside.items() if outside < LOSS * n and n == max(inside.values())}
+        self.dropped = [d or bool(s) and s not in kept for d, s in zip(self.dropped, self.soft, strict=True)]
+
     def texts(self) -> list[tuple[int, str, int]]:
         """(owner, text, link characters) of every block that has kept text, in page order."""
+        self.settle()
         out = []
         for owner, parts in zip(self.owner, self.blocks, strict=True):
             if self.dropped[owner]:
@@ -180,22 +236,22 @@ def main_text(html: str | None) -> str:
     blocks = page.texts()
     if not blocks:
         return ""
-    size, linked, score = {}, {}, {}
+    size, linked, score = Counter(), Counter(), {}
+    for owner, text, links in blocks:
+        size[owner] += len(text)
+        linked[owner] += links
+    for node in range(len(page.tag) - 1, 0, -1):  # parents have smaller numbers
+        if node in size:
+            size[page.parent[node]] += size[node]
+            linked[page.parent[node]] += linked[node]
     for owner, text, links in blocks:
-        node, first = owner, True
-        while True:
-            size[node] = size.get(node, 0) + len(text)
-            linked[node] = linked.get(node, 0) + links
-            if not node:
-                break
-            node = page.parent[node]
         if page.tag[owner] in HEADING:
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text)) * (1 if len(text) >= 25 else 0.1)
         node, step = (page.parent[owner] if page.tag[owner] in PARAGRAPH else owner), 1.0
         while node and step > 0.01:
             score[node] = score.get(node, 0) + points * step
-            node, step, first = page.parent[node], step / 2, False
+            node, step = page.parent[node], step / 2
     final = {n: s * (1 - linked[n] / size[n]) + (25 if page.tag[n] in ("article", "main") else 0) for n, s in score.items() if page.tag[n] not in ("html",)}
     if not final:
         keep = {0}

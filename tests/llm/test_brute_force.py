@@ -8,7 +8,9 @@ import itertools
 import math
 import re
 import sys
+import time
 import zlib
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -340,6 +342,139 @@ def test_pages_leave_boilerplate_out(spark, sf_dir):
         assert r["n_chars"] == len(r["text"]) and not re.search(r"<(script|style|nav|div|p)\b", r["text"])
 
 
+class Tree(HTMLParser):
+    """A page as nested lists [tag, attributes, children], read by the standard library; for pages that close what they open."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.top = ["#page", {}, []]
+        self.open = [self.top]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, {k: (v or "").lower() for k, v in attrs}, []]
+        self.open[-1][2].append(node)
+        if tag not in html_extract.VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n[0] == tag for n in self.open[1:]):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def plain_main_text(html: str) -> str:
+    """Tree scoring by recursion over a tree of the standard library's parser."""
+    x = html_extract
+    blocks: list[tuple[list, str, int]] = []  # path of nodes from the top, text, link characters
+
+    def dropped(tag, at, in_article):
+        if tag in x.DROPPED | x.RAW or tag == "header" and not in_article:
+            return True
+        words = re.findall("[a-z]+", at.get("class", "") + " " + at.get("id", ""))
+        named = any(w in x.UNLIKELY and not (in_article and w in x.ARTICLE_PARTS) for w in words)
+        return tag not in ("html", "body", "article", "main") and (named or at.get("role") in x.UNLIKELY_ROLES or "hidden" in at or "display:none" in at.get("style", "").replace(" ", ""))
+
+    def walk(node, path, run):
+        """run: [text, link characters] of the block that is being read."""
+        for child in node[2]:
+            if isinstance(child, str):
+                run[0] += child
+                run[1] += len(child) if any(n[0] == "a" for n in path) else 0
+            elif child[0] == "br":
+                run[0] += " "
+            elif child[0] in x.BLOCK:
+                end(path, run)
+                if not dropped(child[0], child[1], any(n[0] in ("article", "main") for n in path)):
+                    own = ["", 0]
+                    walk(child, [*path, child], own)
+                    end([*path, child], own)
+            elif child[0] not in x.VOID:
+                if dropped(child[0], child[1], any(n[0] in ("article", "main") for n in path)):
+                    run[0] += " " if child[0] in x.RAW else ""
+                else:
+                    walk(child, [*path, child], run)
+
+    def end(path, run):
+        text = " ".join(run[0].split())
+        while path[-1][0] not in x.BLOCK and len(path) > 1:
+            path = path[:-1]
+        if text:
+            blocks.append((path, text, min(run[1], len(text))))
+        run[:] = ["", 0]
+
+    top = Tree(html).top
+    first = ["", 0]
+    walk(top, [top], first)
+    end([top], first)
+    score, of = collections.Counter(), {}
+    for path, text, links in blocks:
+        if path[-1][0] not in x.HEADING:
+            points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text)) * (1 if len(text) >= 25 else 0.1)
+            ups = path[-2::-1] if path[-1][0] in x.PARAGRAPH else path[::-1]
+            for step, node in enumerate(ups[:7]):
+                if node is not top:
+                    score[id(node)] += points / 2**step
+                    of[id(node)] = node
+    inside = lambda node: [(t, n) for path, t, n in blocks if any(node is m for m in path)]
+    final = {}
+    for i, s in score.items():
+        own = inside(of[i])
+        if of[i][0] != "html":
+            final[i] = s * (1 - sum(n for _, n in own) / sum(len(t) for t, _ in own)) + (25 if of[i][0] in ("article", "main") else 0)
+    best = of[max(final, key=final.get)]
+    path = next(p for p, _, _ in blocks if any(best is m for m in p))
+    while path[-1] is not best:
+        path = path[:-1]
+    articles = [n for n in path if n[0] == "article"]
+    best = articles[0] if articles else best
+    up = path[next(i for i, n in enumerate(path) if n is best) - 1]
+    keep, limit = [best], max(10, 0.2 * final.get(id(best), 0))
+    for child in up[2]:
+        if isinstance(child, str) or child is best or not (own := inside(child)):
+            continue
+        size, linked = sum(len(t) for t, _ in own), sum(n for _, n in own)
+        if best[0] == "article":
+            if child[0] == "article" and final.get(id(child), 0) >= max(limit, 0.5 * final[id(best)]):
+                keep.append(child)
+        elif best[0] not in ("body", "main"):
+            if final.get(id(child), 0) >= limit or child[0] in x.HEADING or child[0] == "p" and (size > 80 and linked < 0.25 * size or not linked):
+                keep.append(child)
+    return "\n".join(t for path, t, _ in blocks if any(n is k for n in path for k in keep))
+
+
+def test_pages_against_a_plain_tree(sf_dir):
+    """All pages whose paragraphs and items are closed; the others need the rules for open ones."""
+    seen = 0
+    for (html,) in duckdb.connect().execute(f"SELECT html FROM '{sf_dir}/pages.parquet'").fetchall():
+        counts = [(len(re.findall(rf"<{t}\b", html)), html.count(f"</{t}>")) for t in ("p", "li", "td", "tr", "dd", "dt")]
+        if all(a == b for a, b in counts):
+            seen += 1
+            assert html_extract.main_text(html) == plain_main_text(html)
+    assert seen > 0
+
+
+@pytest.mark.parametrize("html", ["<a", "<script ", "<div ", "<div>x", '<a "x>y"', "<!-- ", "<!", "<a '>", "< ", "<b>x<hr>", "<ul><div><li>a</li>", "<p><b>x</p>", "<div></p>", '<a id="'])
+def test_hostile_markup_takes_linear_time(html):
+    took = []
+    for n in (5_000, 40_000):
+        start = time.process_time()
+        html_extract.main_text(html * n + "<!--")
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * max(took[0], 0.05)
+
+
+def test_attributes_are_whole_names_and_articles_keep_their_headers():
+    assert html_extract.main_text('<div data-id="comment-3"><p>This is the only article of the page, with commas.</p></div><p>two words</p>') == "This is the only article of the page, with commas.\ntwo words"
+    assert html_extract.main_text('<article><div class="post-header"><h1>Title</h1></div><p>Text of it, with commas, that is long enough.</p></article>') == "Title\nText of it, with commas, that is long enough."
+    assert html_extract.main_text('<div class="share"><p>All that this page has, with commas, and a good length of text.</p></div><p>ok</p>').startswith("All that")
+    assert html_extract.main_text("<p>A text, with commas, that is long enough to be kept here.</p><div class='comment'><p>No, no, no.</p></div>") == "A text, with commas, that is long enough to be kept here."
+
+
 def test_bounds_never_lose_a_neighbour():
     rng = np.random.default_rng(4)
     for dim in (1, 3, 16, 64):
