@@ -3,11 +3,11 @@
 Rules find plain e-mail addresses, network addresses, payment cards and phone numbers exactly. The field then looks at
 islands of words around a digit, an at sign, a bracketed at or a spelled-out dot: every run of up to MAX_WORDS words there is a
 candidate segment, scored as a whole (digit groups, separators, checksum, neighbouring word), and dynamic programming
-over segments of bounded length chooses boundaries and types together. Words outside islands cannot start or end a
+over segments of bounded length (at most MAX_WORDS words and MAX_CHARS code points; e-mail addresses MAX_EMAIL, cards MAX_CARD, phone numbers MAX_PHONE) chooses boundaries and types together. Words outside islands cannot start or end a
 candidate, and a word outside all segments scores 0, so deciding island by island equals deciding over the whole text. Segments that the best
 path holds with a marginal probability of at least MIN_PROBABILITY and that meet no rule's span are added.
 
-The field is fitted by stochastic gradient on at most SAMPLE_ISLANDS islands of the corpus, labelled by the rules, and on
+The field is fitted by stochastic gradient on at most SAMPLE_ISLANDS islands of the corpus (from about SAMPLE_DOCS documents, chosen by the hash of their text, in islands of at most MAX_TRAINED code points), labelled by the rules, and on
 disguised and look-alike spans made from fixed forms; both bounds hold for any input.
 
 Defined results: a null or empty text has no spans; repeated rows are read one by one; offsets are code points; time
@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from .common import source_rows
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_WORDS = 7
+MAX_WORDS = 11
+#: The longest segments, in code points: of any type, and those of each type that may take part.
+MAX_CHARS, MAX_EMAIL, MAX_CARD, MAX_PHONE = 160, 120, 40, 30
+#: Longer islands are not trained on (they are searched).
+MAX_TRAINED = 2000
 SIDE_WORDS = 4
 MIN_PROBABILITY = 0.9
-SAMPLE_ISLANDS = 600
+SAMPLE_ISLANDS, SAMPLE_DOCS = 600, 4000
 SYNTHETIC = 60
 EPOCHS = 12
 
@@ -43,7 +47,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _not_digit = re.compile(r"[^0-9]+")
-_trigger = re.compile(r"[0-9@]|[\[({]at[\])}]|(?<![^\s\[({])dot(?![^\s\])}])")
+_trigger = re.compile(r"[0-9@]|[\[({]at[\])}]|(?<![^\s\[({])dot(?![^\s\])}])", re.I)
 _words = re.compile(r"\S+")
 
 
@@ -121,8 +125,8 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-_at_word = re.compile(r"(?:^|\s)(?:at|\(at\)|\[at\]|\{at\})(?:\s|$)|[\[({]at[\])}]")
-_dot_word = re.compile(r"(?:^|\s)dot(?:\s|$)|[\[({]dot[\])}]")
+_at_word = re.compile(r"(?:^|\s)(?:at|\(at\)|\[at\]|\{at\})(?:\s|$)|[\[({]at[\])}]", re.I)
+_dot_word = re.compile(r"(?:^|\s)dot(?:\s|$)|[\[({]dot[\])}]", re.I)
 _shape = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
@@ -131,15 +135,15 @@ def possible(span: str) -> tuple[str, ...]:
     digits = sum("0" <= c <= "9" for c in span)
     letters = any(c.isalpha() for c in span)
     out = []
-    if letters and ("@" in span or _at_word.search(span)) and ("." in span or _dot_word.search(span)) and len(span) <= 120:
+    if letters and ("@" in span or _at_word.search(span)) and ("." in span or _dot_word.search(span)) and len(span) <= MAX_EMAIL:
         out.append("email")
     groups = re.split(r"[^0-9]+", span.strip())
     if not letters or _dot_word.search(span):
         if 4 <= digits <= 12 and len([g for g in groups if g]) == 4 and (span.count(".") == 3 or len(_dot_word.findall(span)) >= 2 or "[.]" in span):
             out.append("ip")
-    if not letters and 13 <= digits <= 19 and len(span) <= 40:
+    if not letters and 13 <= digits <= 19 and len(span) <= MAX_CARD:
         out.append("card")
-    if not letters and 9 <= digits <= 15 and len(span) <= 30:
+    if not letters and 9 <= digits <= 15 and len(span) <= MAX_PHONE:
         out.append("phone")
     return tuple(out)
 
@@ -157,7 +161,7 @@ def features(text: str, start: int, end: int, before: str) -> list[str]:
         found.append("luhn" if luhn(digits) else "not-luhn")
     if len(groups) == 4:
         found.append("octets" if all(int(g) <= 255 for g in groups if len(g) < 5) and max(map(len, groups)) <= 3 else "not-octets")
-    if re.search(r"\.[A-Za-z]{2,6}$|dot[\])}]?\s*[A-Za-z]{2,6}$", span):
+    if re.search(r"\.[A-Za-z]{2,6}$|dot[\])}]?\s*[A-Za-z]{2,6}$", span, re.I):
         found.append("top-domain")
     if "@" in span:
         found.append("at")
@@ -175,7 +179,7 @@ def candidates(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int,
     for i in range(len(words)):
         before = text[words[i - 1][0] : words[i - 1][1]] if i else ""
         for j in range(i + 1, min(len(words), i + MAX_WORDS) + 1):
-            if not any(has[i:j]) or words[j - 1][1] - words[i][0] > 160:
+            if not any(has[i:j]) or words[j - 1][1] - words[i][0] > MAX_CHARS:
                 continue
             start, end = trimmed(text, words[i][0], words[j - 1][1])
             if start < end and (types := possible(text[start:end])):
@@ -346,7 +350,7 @@ def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             for words in islands(text):
                 low, high = words[0][0], words[-1][1]
-                if high - low > 2000:
+                if high - low > MAX_TRAINED:
                     continue
                 own = [(k, s - low, e - low) for k, s, e in base if s >= low and e <= high]
                 texts.append(text[low:high])
@@ -358,6 +362,8 @@ def _sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, most: int = SAMPLE_ISLANDS) -> Field:
     """Fit on the `most` islands of docs with the smallest hash (only those reach the driver) and the synthetic ones."""
     marked = source_rows(docs, "text").where(F.col("text").rlike("[0-9@]"))
+    share = min(1.0, SAMPLE_DOCS / max(1, marked.count()))  # so that the tasks together send a bounded number of islands
+    marked = marked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
     chosen = marked.mapInArrow(_sample, "key string, island string, spans string").orderBy("key", "spans").limit(most).collect()
     read = lambda s: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(";") if x)]
     return fit([(r["island"], read(r["spans"])) for r in chosen])

@@ -128,6 +128,33 @@ def test_field_finds_disguised_spans_and_leaves_prose(spark, sf_dir):
     assert not found("In 1999 there were 12 apples and 3.5 pears at 10:30.")
 
 
+def test_field_finds_marks_in_capitals_and_long_forms(spark, sf_dir):
+    field = pii.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = lambda t: {(k, t[s:e]) for k, s, e in pii.all_spans(t, field)[1]}
+    assert found("write to anna.berg [AT] example [DOT] org today") == {("email", "anna.berg [AT] example [DOT] org")}
+
+
+def test_field_decoding_against_all_segmentations(spark, sf_dir):
+    """Best path and marginals of short islands by enumeration of every choice of segments."""
+    field = pii.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for text in ("call 555-123-4567 or mail me", "a at b dot c 12", "ip 10 . 0 . 0 . 1 x", "4111 1111 1111 1111"):
+        for words in pii.islands(text):
+            segs = pii.candidates(text, words)
+            if not segs or len(words) > 8:
+                continue
+            scored = [(i, j, k, s) for (i, j, k, _), s in zip(segs, field.scores(segs), strict=True)]
+            paths = [()]
+            for x in scored:
+                paths += [(*p, x) for p in paths if all(x[1] <= y[0] or y[1] <= x[0] for y in p)]
+            total = sum(math.exp(sum(x[3] for x in p)) for p in paths)
+            best = max(paths, key=lambda p: sum(x[3] for x in p))
+            got = field.decode(len(words), segs)
+            assert {(i, j, k) for i, j, k, _ in got} == {x[:3] for x in best}
+            for i, j, k, p in got:
+                own = sum(math.exp(sum(x[3] for x in q)) for q in paths if any(x[:3] == (i, j, k) for x in q))
+                assert math.isclose(p, own / total, rel_tol=1e-6)
+
+
 def test_language_model_base(spark, sf_dir, texts):
     tokens = {i: [*WORD.findall(lower(t)), "\n"] for i, (t, _) in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
