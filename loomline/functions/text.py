@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: marks stripped from both ends of a token.
@@ -77,3 +77,8 @@ def json_string_size(text: Column) -> Column:
     six = F.regexp_count(text, F.lit(r"[\x00-\x07\x0B\x0E-\x1F\x7F-\x{FFFF}]"))
     twelve = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
     return F.length(text) + 2 + two + 5 * six + 11 * twelve
+
+
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with computed columns behind a generator, so that an expression used several times, or in a filter, is computed once a row."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomline.functions.numbers import savings
 from loomline.functions.text import any_of, json_string_size
 
+from loomline.sources.shared import written
+
 from . import rules
 from .neighbours import numbered, with_previous
 
@@ -107,7 +109,8 @@ def noise_guardrail(cells: DataFrame, importance: str = "importance") -> DataFra
 
 def decide(cells: DataFrame, field_order: dict[str, int], minimum: float = MINIMUM_SAVINGS) -> DataFrame:
     """One row per dataset: the four sizes, the smallest mode, and the mode that the policy takes with its reason."""
-    found = rules.discover(cells)
+    cells = written(cells, "cells")
+    found = written(rules.discover(cells), "rules")
     ints = cells.groupBy("dataset", "field").agg(F.bool_and("is_int").alias("is_int"))
     sizes = row_form_sizes(cells).join(dictionary_sizes(cells), "dataset").join(rule_sizes(found, ints, field_order), "dataset").join(noise_guardrail(cells), "dataset")
     options = F.array(*[F.struct(F.col(f"{m}_size").alias("size"), F.lit(i).alias("rank"), F.lit(m).alias("mode")) for i, m in enumerate(MODES)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import n_of, token_set
+from loomline.functions.text import n_of, once, token_set
 
 from .ranking import top_overall, top_per_group
 
@@ -25,7 +25,7 @@ def row_text(columns: list[str]) -> Column:
 
 def keyword_hits(df: DataFrame, text: Column, terms: list[str], k: int, order: list[str]) -> DataFrame:
     """The k rows of all that hold most of the terms (newest first among equals); rows without a term are out."""
-    rows = df.withColumn("_text", F.lower(text)).withColumn("hits", n_of(F.col("_text"), terms)).drop("_text").where("hits > 0")
+    rows = once(once(df, _text=F.lower(text)), hits=n_of(F.col("_text"), terms)).drop("_text").where("hits > 0")
     return top_overall(rows, [F.desc("hits"), *[F.desc(c) for c in order]], k)
 
 
@@ -64,3 +64,37 @@ def terms_found(docs: DataFrame, key: str, text: Column, terms: DataFrame, term:
     tokens = docs.select(key, F.explode(token_set(text)).alias("_token"))
     wanted = terms.select(term).distinct()
     return tokens.join(wanted, tokens["_token"] == wanted[term]).select(key, term)
+
+
+def best_overlaps(rows: DataFrame, text: Column, terms: DataFrame, term: str, key: str, least: float = 0.5) -> DataFrame:
+    """Each term's best token overlap with any one row, and whether it reaches `least`; terms meet only rows that share a token.
+
+    terms has one column of texts (repeats count once). Overlap is the share of the term's distinct tokens that the row holds; a term without tokens has 0.
+    """
+    wanted = terms.select(term).distinct().withColumn("_tokens", token_set(F.col(term)))
+    asked = wanted.select(term, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
+    held = rows.select(F.col(key).alias("_row"), F.explode(token_set(text)).alias("_token"))
+    met = held.join(asked, "_token").groupBy(term, "_row").agg((F.count(F.lit(1)) / F.first("_n")).alias("overlap"))
+    best = met.groupBy(term).agg(F.max("overlap").alias("overlap"))
+    out = wanted.select(term).join(best, term, "left").select(term, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    return out.withColumn("hit", F.col("overlap") >= least)
+
+
+#: Estimates of the static baselines; None is the share of keywords that are found.
+BASELINES = {"raw_storage": (1.0, 0.6, 0.4), "basic_summary": (0.55, 0.45, 0.55), "keyword_search": (None, 0.65, 0.55)}
+
+
+def static_baselines(rows: DataFrame, keys: list[str], text: Column, order: list[str], keywords: list[str], first: int = 5) -> DataFrame:
+    """keys, method, storage_bytes, accuracy, continuity, noise_resistance: all texts, the first few, and keywords looked for in all."""
+    rows = once(rows, _text=F.coalesce(text, F.lit("")))
+    size = F.octet_length("_text")
+    found = [F.bool_or(F.contains(F.lower("_text"), F.lit(k.lower()))).cast("int") for k in keywords]
+    hits = sum(found[1:], found[0]) if found else F.lit(0)
+    whole = rows.groupBy(*keys).agg(F.sum(size).alias("_bytes"), (hits / max(len(keywords), 1)).alias("_share"))
+    head = top_per_group(rows, keys, [F.asc(c) for c in order], first).groupBy(*keys).agg((F.sum(size) + F.count(F.lit(1)) - 1).alias("_head"))
+    both = whole.join(head, keys)
+    told = []
+    for method, (accuracy, continuity, noise) in BASELINES.items():
+        own = F.col("_share") if accuracy is None else F.lit(accuracy)
+        told.append(F.struct(F.lit(method).alias("method"), F.col("_head" if method == "basic_summary" else "_bytes").alias("storage_bytes"), own.cast("double").alias("accuracy"), (F.least(own, F.lit(continuity)) if accuracy is None else F.lit(continuity)).alias("continuity"), F.lit(noise).alias("noise_resistance")))
+    return both.select(*keys, F.inline(F.array(*told)))

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.sources.shared import written
+
 MAX_CYCLE, MIN_REPEATS = 20, 2
 HEAD = MAX_CYCLE
+#: Columns whose heads are broadcast (some tens of MB); with more of them, each is small beside all.
+HEADS_SENT = 10_000
 #: Fixed value: text before, within and after the first integer of a value.
 TEMPLATE = r"^(.*?)(-?[0-9]+)(.*)$"
 
@@ -61,7 +65,10 @@ def discover(cells: DataFrame, max_cycle: int = MAX_CYCLE, min_repeats: int = MI
             "t_step": _number(F.regexp_extract(F.get("head", F.lit(1)), TEMPLATE, 2)) - _number(F.regexp_extract(F.get("head", F.lit(0)), TEMPLATE, 2)),
         }
     )
-    own = cells.select("dataset", "field", "idx", "text").join(heads, ["dataset", "field"])
+    heads = written(heads, "heads")
+    # one row of at most HEAD values per column: sent to all tasks while there are few, so that no column is gathered
+    sent = F.broadcast(heads) if heads.count() <= HEADS_SENT else heads
+    own = cells.select("dataset", "field", "idx", "text").join(sent, ["dataset", "field"])
     at = F.col("idx").cast("int")
     cycles = [F.bool_and(F.col("text").eqNullSafe(F.get("head", at % p))).alias(f"c{p}") for p in range(1, max_cycle + 1)]
     made = numbered_text(F.col("prefix"), F.col("t_base") + F.col("t_step") * F.col("idx"), F.col("width"), F.col("suffix"))

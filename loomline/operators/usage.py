@@ -69,3 +69,42 @@ def review_history(changes: DataFrame, keys: list[str], seq: str, status: str) -
     """Every status change with the status it replaced."""
     own = Window.partitionBy(*keys).orderBy(seq)  # one request's changes, a handful
     return changes.withColumn("from_status", F.lag(status).over(own)).withColumnRenamed(status, "to_status")
+
+
+def dashboard_state(requests: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per client: requests allowed and blocked, sorted blocked reasons, visible reports and which results exist."""
+    blocked = ~F.col("allowed")
+    seen = lambda o: F.coalesce(F.bool_or(F.col("operation") == o), F.lit(False))
+    state = requests.groupBy(*keys).agg(
+        F.count_if("allowed").alias("allowed_requests"),
+        F.count_if(blocked).alias("blocked_requests"),
+        F.array_join(F.array_sort(F.collect_set(F.when(blocked, F.col("reason")))), ",").alias("blocked_reasons"),
+        seen("memory_reconstruct").alias("reconstruction_available"),
+        seen("explain").alias("explanation_available"),
+    )
+    visible = reports.groupBy(*keys).agg(F.count(F.lit(1)).alias("reports_visible"))
+    return state.join(visible, keys, "left").fillna(0, ["reports_visible"])
+
+
+def is_true(column: Column) -> Column:
+    """True only for true: null and false are false."""
+    return F.coalesce(column, F.lit(False)) == F.lit(True)
+
+
+def route_results(results: DataFrame, body: str = "body") -> DataFrame:
+    """name, status_code, status, operation, error_code and public_safe of nested results; a missing body or error gives nulls."""
+    own = F.col(body)
+    return results.select("name", "status_code", own["status"].alias("status"), own["operation"].alias("operation"), own["error"]["code"].alias("error_code"), own["public_safe"].alias("public_safe"))
+
+
+def stamped(reports: DataFrame, context: dict[str, Column], results: str, version: Column) -> DataFrame:
+    """Reports with constant columns of their context, and the version in each of their nested results."""
+    return reports.withColumns({**context, "version": version, results: F.transform(results, lambda r: r.withField("version", version))})
+
+
+def public_decisions(decisions: DataFrame, private: bool = False) -> DataFrame:
+    """The columns of a decision that a public report shows, rounded to two places; the private one adds all sizes and the reason."""
+    raw, own = F.col("raw_size"), F.col("policy_size")
+    ratio = F.when(own != 0, F.bround(raw / own, 2))
+    shown = ["dataset", F.col("n").alias("input_rows"), raw.alias("baseline_size"), own.alias("encoded_size"), F.col("policy_mode").alias("mode"), F.bround(F.when(raw != 0, (raw - own) / raw * 100).otherwise(0.0), 2).alias("reduction_percent"), ratio.alias("ratio")]
+    return decisions.select(*shown, *(["transform_size", "dictionary_size", "rule_size", "reason"] if private else []))

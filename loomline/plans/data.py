@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.functions.text import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,5 +40,10 @@ FROM (
 M = "WITH m AS (" + MEMORY.replace("{events}", "events") + ")\n"
 
 
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+
+
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MEMORY, events=table(spark, sf_dir, "events"))
+    """MEMORY over the events, with the number in props read once a row."""
+    events = once(table(spark, sf_dir, "events"), k=F.expr(_K))
+    return spark.sql(MEMORY.replace(f"{_K} AS k", "k"), events=events)

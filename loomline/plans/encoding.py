@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import delta, encoding, rules
 from loomline.operators.neighbours import numbered
+from loomline.sources.shared import written
 
 from .data import table
 
@@ -33,6 +34,11 @@ def cells(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def written_cells(spark, sf_dir):
+    """cells() as a table, for what reads them more than once."""
+    return written(cells(spark, sf_dir), "cells")
+
+
 def _cells_sql() -> str:
     rows = [f"SELECT '{t}' AS dataset, CAST({idx} AS BIGINT) AS idx, '{f}' AS field, CAST({f} AS VARCHAR) AS text, {f in INTS} AS is_int FROM {t}" for t, (idx, fields) in DATASETS.items() for f in fields]
     turns = "(SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, role, text, CASE WHEN turn < 0 THEN 'high' ELSE 'low' END AS importance FROM conversations)"
@@ -88,7 +94,7 @@ _TOLD = "SELECT dataset, field, n, type, value, base, step, array_to_string(cycl
 
 
 def column_rules(spark, sf_dir):
-    return _told(rules.discover(cells(spark, sf_dir)))
+    return _told(rules.discover(written_cells(spark, sf_dir)))
 
 
 def line_rules(spark, sf_dir):
@@ -96,11 +102,11 @@ def line_rules(spark, sf_dir):
 
 
 def rule_values(spark, sf_dir):
-    return rules.values(rules.discover(cells(spark, sf_dir)))
+    return rules.values(rules.discover(written_cells(spark, sf_dir)))
 
 
 def rule_verdicts(spark, sf_dir):
-    return rules.dataset_verdict(rules.discover(cells(spark, sf_dir)), FIELD_ORDER)
+    return rules.dataset_verdict(rules.discover(written_cells(spark, sf_dir)), FIELD_ORDER)
 
 
 def dictionary_codes(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packets", "encoding", "tenancy", "evidence", "replay", "shaping")
+MODULES = ("packets", "encoding", "tenancy", "evidence", "replay", "shaping", "forms")
 
 
 def _all() -> dict:
