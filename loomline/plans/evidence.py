@@ -142,7 +142,7 @@ _FOUND = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(coalesce(text,
 
 def customer_leaks(spark, sf_dir):
     reports = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("order of Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(", shipped")).alias("report"))
-    known = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select("c_name")
+    known = table(spark, sf_dir, "customer").select("c_name")
     return safety.leaked_values(reports, "o_orderkey", "report", known, "c_name")
 
 
@@ -161,7 +161,7 @@ def conversation_tokens(spark, sf_dir):
 
 
 def benchmark_terms(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(text.token_set(F.col("text"))).alias("term")).where(F.length("term") >= 12)
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(text.token_set(F.col("text"))).alias("term"))
     found = retrieval.terms_found(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), terms, "term")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"))
 
@@ -217,7 +217,7 @@ QUERIES = {
         document_scan,
         f"WITH s AS (SELECT doc_id, {_FOUND} AS terms, {_SECRET} AS has_secret, len(regexp_extract_all(coalesce(text, ''), '{safety.EMAIL_SHAPE}')) AS n_emails FROM documents) SELECT doc_id, terms, has_secret, n_emails, terms = '' AND NOT has_secret AND n_emails = 0 AS clean FROM s",
     ),
-    "K32_customer_leaks": (customer_leaks, "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY'"),
+    "K32_customer_leaks": (customer_leaks, "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey"),
     "S8_S10_masking": (
         masked_names,
         f"SELECT s_suppkey, {_MASK} AS masked, concat('...', right(s_name, 4)) AS preview, substr(sha256(s_name), 1, 12) AS fingerprint, concat_ws('::', 'a', s_name, s_nationkey) AS scope, left(regexp_replace(lower(concat('Team / ', s_name)), '[ /]', '_', 'g'), 24) AS slug FROM supplier",
@@ -231,6 +231,6 @@ QUERIES = {
     "C10_benchmark_terms": (
         benchmark_terms,
         f"WITH b AS (SELECT DISTINCT unnest({_TOKENS.replace("{t}", "text")}) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_TOKENS.replace("{t}", '''coalesce(text, '')''')}) AS term FROM documents) "
-        "SELECT doc_id, count(*) AS n_terms FROM d JOIN (SELECT term FROM b WHERE length(term) >= 12) USING (term) GROUP BY doc_id",
+        "SELECT doc_id, count(*) AS n_terms FROM d JOIN b USING (term) GROUP BY doc_id",
     ),
 }
