@@ -267,17 +267,19 @@ def dedup(docs: DataFrame, length: str | None = None, count: str | None = None)
 
     length names a column that is to follow the length of texts that change; count a new one for the number of removed lines.
     """
-    k, h, removed = free_names(docs, "line_k", "line_h", "line_removed")
+    k, h, removed, kept = free_names(docs, "line_k", "line_h", "line_removed", "line_kept")
     gone = stored(removed_lines(docs).select(F.col("k").alias(k), F.col("h").alias(h), F.col("removed").alias(removed)), "removed")
     lost = gone.agg(F.sum(F.size(removed))).first()[0] or 0
     keyed = docs.withColumns({k: _id_key(), h: F.xxhash64("text")})
     joined = keyed.join(F.broadcast(gone) if lost <= BROADCAST_ROWS else gone, [k, h], "left")
-    made = {"text": F.when(F.col(removed).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(removed)))}
+    # under a name of its own: in a list of columns, a lambda that names `text` would take the new one
+    made = joined.withColumn(kept, F.when(F.col(removed).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(removed))))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col(kept)}
     if length:
-        made[length] = F.when(F.col(removed).isNull(), F.col(length)).otherwise(F.length(made["text"]).cast(docs.schema[length].dataType))
+        columns[length] = F.when(F.col(removed).isNull(), F.col(length)).otherwise(F.length(kept).cast(docs.schema[length].dataType))
     if count:
-        made[count] = F.coalesce(F.size(removed), F.lit(0)).cast("long")
-    return joined.withColumns(made).select(*[F.col(f"`{c}`") for c in docs.columns], *([count] if count else []))
+        columns[count] = F.coalesce(F.size(removed), F.lit(0)).cast("long")
+    return made.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def deduped(docs: DataFrame) -> DataFrame:

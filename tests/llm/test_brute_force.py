@@ -235,6 +235,12 @@ def test_lines_over_parts_crowds_and_shuffles(spark, monkeypatch, part_rows, cro
     assert sorted(r["doc_id"] for r in got if r["n_removed"]) == wanted
 
 
+def test_lengths_follow_the_texts_that_change(spark):
+    line = "a line of text that comes more than once"
+    df = spark.createDataFrame([(1, f"{line}\nend", -1), (2, f"top\n{line}\nmid\n{line}", -1), (3, None, -1)], "doc_id long, text string, n_chars int")
+    assert sorted(map(tuple, line_dedup.dedup(df, length="n_chars").collect())) == [(1, f"{line}\nend", -1), (2, "top\nmid", 7), (3, None, -1)]
+
+
 def test_line_columns_may_be_called_like_computed_ones(spark):
     df = spark.createDataFrame([(1, "one line of text that is long enough", 9)], "doc_id long, text string, _line_n int")
     df = df.withColumns({"line_k": F.lit(1), "line_h": F.lit(2), "_line_removed": F.lit(3), "line_removed": F.lit(4)})
