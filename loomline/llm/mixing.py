@@ -31,7 +31,7 @@ ROUNDS = 12
 #: Tokens to keep, as a share of all.
 BUDGET = 0.6
 #: Share by which the bound may miss a target more than raking without it does, and budgets tried (each 5 % less).
-MISS, BUDGETS = 0.001, 12
+MISS, BUDGETS, FALL = 0.001, 12, 0.95
 #: Topics by the first mark that a text holds, in this order, and the topic of texts without any.
 TOPIC_MARKS = (("table", " | "), ("licence", "icense"), ("contact", "@"), ("code", "{"))
 OTHER_TOPIC = "prose"
@@ -106,6 +106,8 @@ def _miss(fitted: DataFrame) -> float:
 def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float, budget: float, rounds: int, bounded: bool = True) -> DataFrame:
     """The three columns of each cell of `cells` (tokens) and its documents' `prob`, written."""
     cells = stored(with_targets(cells, targets, temper), "targets")
+    if cells.count() <= MAX_CELLS_SENT:  # a small table is fitted in one task instead of by a shuffle for each step
+        cells = cells.coalesce(1)
     misses = {f"_miss_{d}": F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"target_{d}")) / F.col("total") for d in DIMENSIONS}
     fitted = rake(cells, rounds)
     if bounded:
@@ -114,11 +116,15 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: f
         least = cells.select(F.least(*shares).alias("share")).agg(F.min("share")).first()[0]
         budget = budget if least is None else min(budget, least)
         allowed = _miss(fitted.withColumns(misses)) + MISS
-        for left in reversed(range(BUDGETS)):
-            fitted = stored(rake(cells, rounds, budget).withColumns(misses), "bounded")
-            if not left or _miss(fitted) <= allowed:
-                break
-            budget *= 0.95
+        tried = lambda at: stored(rake(cells, rounds, budget * FALL**at).withColumns(misses), "bounded")
+        low, high, found = 0, BUDGETS - 1, {}
+        while low < high:  # the first of the budgets that meets the targets, or else the last
+            at = (low + high) // 2
+            found[at] = tried(at)
+            low, high = (low, at) if _miss(found[at]) <= allowed else (at + 1, high)
+        if high not in found:
+            found[high] = tried(high)
+        fitted, budget = found[high], budget * FALL**high
     prob = F.round(F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens")), 9)
     return stored(fitted.select(*DIMENSIONS, prob.alias("prob")), "fitted")
 
