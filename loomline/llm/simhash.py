@@ -17,15 +17,15 @@ rows get the same row again; null ids never become a component's id while anothe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import source_rows, stored
+from .common import discard, source_rows, stored
 from .components import components
 
 SEED = 42
@@ -34,6 +34,12 @@ MAX_BITS = 2
 MAX_KEY_PAIRS = 1024
 #: Dropped ids up to this many are sent to every executor (16 MB of ids); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Near-duplicates of a stage: words of a shingle, and the least Jaccard similarity as a fraction of whole numbers.
+WIDTH, MORE, OF = 5, 4, 5
+#: Shingles are counted in 2 ** COUNT_BITS hash buckets, whose ranks (1 MB) every task gets; sketches of shingle sets have so many bits.
+COUNT_BITS, SKETCH_BITS = 20, 1024
+MIX = np.uint64(0x9E3779B97F4A7C15)
+ROW_KEY = ("no_id", "id", "text_hash")
 #: Fixed value: generator polynomial of the binary Golay code (23, 12).
 GOLAY = 0b110001110101
 #: (shift, bits) of the segments.
@@ -81,18 +87,23 @@ class Golay:
         return self.decode(words[:, None] ^ flips[None, :])
 
 
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """The 64 bits that are set in over half of n hashes, which come in parts."""
+    ones = np.zeros(64, np.int64)
+    for hashes in parts:
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Unsigned 64-bit SimHash of the text's word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    ones, n = np.zeros(64, np.int64), len(shingles)
-    for at in range(0, n, 1 << 16):
-        part = shingles[at : at + (1 << 16)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    n = len(shingles)
+    parts = (shingles[at : at + (1 << 16)] for at in range(0, n, 1 << 16))
+    return majority((np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part)) for part in parts), n)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -162,16 +173,191 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.uint64, copy=False).view(np.int64))
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each WIDTH-word shingle, repeats included (fewer words: of the whole sequence; none: no hash)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    width = min(WIDTH, len(words))
+    out = np.full(len(words) - width + 1, width, np.uint64)
+    for j in range(width):
+        out = (out ^ word[j : j + len(out)]) * MIX
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _set_key(members: np.ndarray) -> int:
+    """The name of a set of shingles: 64 bits over its sorted members."""
+    return xxhash.xxh64_intdigest(members.tobytes(), SEED)
+
+
+def _sketch(members: np.ndarray) -> bytes:
+    """SKETCH_BITS parity bits, of which each member flips one; the bits that two sketches differ in are a lower bound of what the sets differ in."""
+    flips = np.bincount((members >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(no_id, id, text_hash, cls, fp, n, sketch) per row: cls names its set of shingles, fp is the SimHash over them, n their number."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            cls, fp, n, sketch = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), [], []
+            for i, text in enumerate(b.column("text")):
+                hashes = shingle_hashes(text.as_py())
+                members = np.unique(hashes)
+                cls[i], fp[i] = _set_key(members), majority((hashes[at : at + (1 << 16)] for at in range(0, len(hashes), 1 << 16)), len(hashes))
+                n.append(len(members))
+                sketch.append(_sketch(members))
+            made = [_signed(cls), _signed(fp), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ROW_KEY], *made], [*ROW_KEY, "cls", "fp", "n", "sketch"])
+
+    rows = source_rows(docs, "doc_id", "text").select(*row_key(), "text")
+    return rows.mapInArrow(batches, "no_id boolean, id long, text_hash long, cls long, fp long, n long, sketch binary")
+
+
+def row_key() -> list[Column]:
+    """A row is known by its id and its text."""
+    own = F.col("doc_id").cast("long")
+    return [own.isNull().alias("no_id"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash")]
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def shingle_ranks(texts: DataFrame) -> np.ndarray:
+    """A rank for each hash bucket of shingles, two for each doubling of the times that all texts hold one; any ranks give the same links."""
+
+    def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in it:
+            for text in b.column(0):
+                np.add.at(total, (shingle_hashes(text.as_py()) & np.uint64(len(total) - 1)).astype(np.int64), 1)
+        found = np.nonzero(total)[0]
+        for at in range(0, len(found), 1 << 16):
+            part = found[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["bucket", "n"])
+
+    sums = texts.select("text").mapInArrow(counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** COUNT_BITS rows
+    ranks = np.zeros(1 << COUNT_BITS, np.uint8)
+    ranks[sums["bucket"].to_numpy()] = np.minimum(255, 2 * np.log2(sums["n"].to_numpy())).astype(np.uint8)
+    return ranks
+
+
+def prefix_rows(texts: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(h, cls, n, pos): the first n - ceil(MORE / OF * n) + 1 shingles of each text, rare ones first. Similar texts share one of them."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for text in b.column(0):
+                members = np.unique(shingle_hashes(text.as_py()))
+                n = len(members)
+                if n:
+                    m = n * (OF - MORE) // OF + 1
+                    first = members[np.lexsort((members, ranks[(members & np.uint64(len(ranks) - 1)).astype(np.int64)]))[:m]]
+                    key = np.full(m, _set_key(members), np.uint64)
+                    yield pa.RecordBatch.from_arrays([_signed(first), _signed(key), pa.array(np.full(m, n)), pa.array(np.arange(m))], ["h", "cls", "n", "pos"])
+
+    return texts.select("text").mapInArrow(batches, "h long, cls long, n long, pos long")
+
+
+def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have a Jaccard similarity of MORE / OF or more: first by size and sketch, then exactly."""
+
+    def close(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb")]
+            apart = np.bitwise_count(both[0] ^ both[1]).sum(1, dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+            sizes = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            yield batch.select(["a", "b"]).filter(pa.array((MORE + OF) * apart <= (OF - MORE) * sizes))
+
+    sides = [classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where((F.col("na") * MORE <= F.col("nb") * OF) & (F.col("nb") * MORE <= F.col("na") * OF))
+    left = stored(met.mapInArrow(close, "a long, b long"), "near-pairs")
+    asked = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
+    holders = stored(asked.join(classes, "cls").select("row.*"), "near-rows")
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for text in b.column(0):
+                members = np.unique(shingle_hashes(text.as_py()))
+                yield pa.RecordBatch.from_arrays([_signed(np.array([_set_key(members)], np.uint64)), pa.array([members.view(np.int64)], pa.list_(pa.int64()))], ["cls", "members"])
+
+    texts = docs.select(*row_key(), "text").join(_sent(holders), list(ROW_KEY), "left_semi").select("text")
+    known = stored(texts.mapInArrow(sets, "cls long, members array<long>").dropDuplicates(["cls"]), "near-sets")
+    both = left.join(known.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(known.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
+    common = F.size(F.array_intersect("ma", "mb"))
+    found = stored(both.where(common * OF >= (F.size("ma") + F.size("mb") - common) * MORE).select("a", "b"), "near-links")
+    discard(left), discard(holders), discard(known)
+    return found
+
+
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose classes are not yet of one component."""
+    a, b = [label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    known = pairs.join(a, "a", "left").join(b, "b", "left")
+    return known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def near_classes(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """(cls, component) of the classes that are near another one, from the rows of shingle_sets.
+
+    First come the links of the fingerprints, found by Golay keys and verified. Then, as a Jaccard similarity of 0.8 leaves some ten bits of
+    a fingerprint different, prefix shingles find all others: every class at a shingle is held against the first one there; where more
+    than one component is still left at a shingle, all classes outside its largest component are held against the other components' classes.
+    """
+    row = F.struct(*ROW_KEY)
+    classes = stored(each.groupBy("cls").agg(F.min(row).alias("row"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    copies = each.select("cls", row.alias("own")).join(classes.select("cls", "row"), "cls").where("own <> row").select("own.*").distinct()
+    texts = docs.select(*row_key(), "text").join(_sent(stored(copies, "copies")), list(ROW_KEY), "left_anti").select("text")
+
+    own = stored(classes.groupBy("fp").agg(F.min("cls").alias("cls"), F.max("cls").alias("last")), "prints")
+    u, v = [own.select(F.col("fp").alias(f), F.col("cls").alias(c)) for f, c in (("u", "a"), ("v", "b"))]
+    golay = links(own.select("fp")).join(u, "u").join(v, "v").select("a", "b")
+    same = classes.select(F.col("cls").alias("a"), "fp").join(own.where("cls <> last").select("fp", F.col("cls").alias("b")), "fp").where("a <> b").select("a", "b")
+    edges = similar(docs, classes, golay.union(same).distinct())
+    label = stored(components(edges.toDF("u", "v")), "components")
+
+    rows = stored(prefix_rows(texts, shingle_ranks(texts)), "prefixes")
+    met = rows.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead <> last").drop("last")
+    shared = stored(rows.join(met, "h"), "shared")
+    discard(rows)
+    first = shared.where("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    edges = edges.union(similar(docs, classes, _across(first, label)))
+    label = stored(components(edges.toDF("u", "v")), "components")
+
+    named = stored(shared.distinct().join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "named")
+    sizes = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("h").agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where("k > 1 and n > 2").select("h", "main")
+    live = stored(named.join(main, "h").where("cls <> lead").drop("lead"), "live")
+    l, r = [live.select("h", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "n", "pos", "component")]) for s in "ab"]
+    apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_cls") < F.col("b_cls")))
+    need = (F.col("a_n") + F.col("b_n")) * MORE
+    fits = ((F.col("a_n") - F.col("a_pos")) * (MORE + OF) >= need) & ((F.col("b_n") - F.col("b_pos")) * (MORE + OF) >= need)
+    pairs = l.where("a_component <> main").join(r.drop("main"), "h").where(apart & fits).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    more = similar(docs, classes, pairs)
+    if not more.isEmpty():
+        label = stored(components(edges.union(more).toDF("u", "v")), "components")
+    discard(shared), discard(named), discard(live)
+    return label.withColumnRenamed("node", "cls")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one row of each group of near-duplicates: the one with the smallest id (null ids last), then text hash.
 
-    A row is known by its id and text, so rows that only share an id, or have none, are judged each on their own. Rows
-    that repeat both are one document; of them the one stays whose columns are smallest.
+    Texts are linked whose sets of WIDTH-word shingles have a Jaccard similarity of MORE / OF or more; groups are the components. Null
+    texts and those without a word are one group. A row is known by its id and text, so rows that only share an id, or have
+    none, are judged each on their own. Rows that repeat both are one document; of them the one stays whose columns are smallest.
     """
-    each = stored(fingerprints(docs), "fingerprints")
-    label = stored(components(links(each.select("fp").distinct())), "components").select(F.col("node").alias("fp"), "component")
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
-    found = stored(each.join(label, "fp", "left").select(F.coalesce("component", "fp").alias("component"), row.alias("row")), "groups")
+    each = stored(shingle_sets(docs), "shingled")
+    label = near_classes(docs, each)
+    found = stored(each.join(label, "cls", "left").select(F.coalesce("component", "cls").alias("component"), F.struct(*ROW_KEY).alias("row")), "groups")
     firsts = found.groupBy("component").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").select("component", "first")
     gone = stored(found.join(firsts, "component").where("row <> first").select("row.*").distinct(), "gone")
     again = stored(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row.*").join(gone, ["no_id", "id", "text_hash"], "left_anti"), "again")
