@@ -311,6 +311,7 @@ def near_classes(docs: DataFrame, each: DataFrame) -> DataFrame:
     First come the links of the fingerprints, found by Golay keys and verified. Then, as a Jaccard similarity of 0.8 leaves some ten bits of
     a fingerprint different, prefix shingles find all others: every class at a shingle is held against the first one there; where more
     than one component is still left at a shingle, all classes outside its largest component are held against the other components' classes.
+    That last join makes all pairs within a group whose shingles are led by a class from outside it.
     """
     row = F.struct(*ROW_KEY)
     classes = stored(each.groupBy("cls").agg(F.min(row).alias("row"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
