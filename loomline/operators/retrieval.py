@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.text import n_of, once, token_set
+from loomline.sources.shared import written
 
 from .ranking import top_overall, top_per_group
 
@@ -66,17 +67,25 @@ def terms_found(docs: DataFrame, key: str, text: Column, terms: DataFrame, term:
     return tokens.join(wanted, tokens["_token"] == wanted[term]).select(key, term)
 
 
-def best_overlaps(rows: DataFrame, text: Column, terms: DataFrame, term: str, key: str, least: float = 0.5) -> DataFrame:
-    """Each term's best token overlap with any one row, and whether it reaches `least`; terms meet only rows that share a token.
+def _wanted_sets(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """(_set): the different sets of tokens of texts, as far as they are in the vocabulary (_token); no empty ones."""
+    held = texts.select(text).distinct().select(text, F.explode(token_set(F.col(text))).alias("_token"))
+    return held.join(vocabulary, "_token", "left_semi").groupBy(text).agg(F.sort_array(F.collect_list("_token")).alias("_set")).select("_set").distinct()
+
+
+def best_overlaps(rows: DataFrame, text: Column, terms: DataFrame, term: str, least: float = 0.5) -> DataFrame:
+    """Each term's best token overlap with any one row, and whether it reaches `least`; token sets of terms meet only those of rows that share a token.
 
     terms has one column of texts (repeats count once). Overlap is the share of the term's distinct tokens that the row holds; a term without tokens has 0.
+    Of the rows, only the different sets of those tokens that some term has are joined, so repeats of a text and tokens of no term cost no pairs.
     """
-    wanted = terms.select(term).distinct().withColumn("_tokens", token_set(F.col(term)))
-    asked = wanted.select(term, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
-    held = rows.select(F.col(key).alias("_row"), F.explode(token_set(text)).alias("_token"))
-    met = held.join(asked, "_token").groupBy(term, "_row").agg((F.count(F.lit(1)) / F.first("_n")).alias("overlap"))
-    best = met.groupBy(term).agg(F.max("overlap").alias("overlap"))
-    out = wanted.select(term).join(best, term, "left").select(term, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    wanted = written(terms.select(term).distinct().withColumn("_tokens", F.sort_array(token_set(F.col(term)))), "terms")
+    asked = wanted.select(F.col("_tokens").alias("_asked")).distinct().select("_asked", F.explode("_asked").alias("_token"))
+    sets = written(_wanted_sets(rows.select(text.alias("_text")), "_text", asked.select("_token").distinct()), "sets")
+    held = sets.select(F.col("_set"), F.explode("_set").alias("_token"))
+    met = held.join(asked, "_token").groupBy("_asked", "_set").agg(F.count(F.lit(1)).alias("_n"))
+    best = met.groupBy("_asked").agg((F.max("_n") / F.size("_asked")).alias("overlap"))
+    out = wanted.join(best.withColumnRenamed("_asked", "_tokens"), "_tokens", "left").select(term, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
     return out.withColumn("hit", F.col("overlap") >= least)
 
 

@@ -74,7 +74,7 @@ def first_rows(spark, sf_dir):
 def best_overlaps(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     terms = part.select(F.concat_ws(" ", "p_type", "p_name").alias("term"))
-    return retrieval.best_overlaps(part, F.concat_ws(" ", "p_brand", "p_name"), terms, "term", "p_partkey")
+    return retrieval.best_overlaps(part, F.concat_ws(" ", "p_brand", "p_name"), terms, "term")
 
 
 KEYWORDS = ["la", "the", "nothing like this", "de"]

@@ -180,6 +180,24 @@ def test_substrings_count_as_hits(spark):
     assert [r["t"] for r in retrieval.keyword_hits(df, F.col("t"), ["trusted"], 5, ["i"]).collect()] == ["untrusted"]
 
 
+def test_best_overlaps_pair_no_repeats(spark, monkeypatch):
+    """Rows that differ only in tokens of no term are one set; null and empty texts overlap with nothing."""
+    sizes, plain = {}, retrieval.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(retrieval, "written", counted)
+    texts = [f"red {w} x{i}" for i in range(200) for w in ("bolt", "ring")] + [None, "", "x1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    terms = spark.createDataFrame([(t,) for t in ["red bolt", "bolt red", "red bolt", "blue ring nut", "Red, red", "zebra", "", None]], "term string")
+    got = {r["term"]: (round(r["overlap"], 6), r["hit"]) for r in retrieval.best_overlaps(rows, F.col("t"), terms, "term").collect()}
+    assert got == {"red bolt": (1.0, True), "bolt red": (1.0, True), "blue ring nut": (0.333333, False), "Red, red": (1.0, True), "zebra": (0.0, False), "": (0.0, False), None: (0.0, False)}
+    assert sizes == {"terms": 7, "sets": 2}
+
+
 def test_label_cascade_respects_order_and_negation(spark):
     schema = "current_state string, risk_signals string, human_context string, counter_evidence string, review_action string"
     rows = [
