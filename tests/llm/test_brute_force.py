@@ -183,6 +183,30 @@ def test_model_is_a_distribution():
     assert 0.97 < total <= 1.0001  # the rest is the share of words never seen
 
 
+def test_model_tallies_every_position(spark):
+    """Long texts too: each position counts once for each of its three features, with the outcome that a walk over the text gives it."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(3000)], n)) for n in (1, 40, 5000, 700)] + [None, ""]
+    tokens = [lm_scoring.byte_words(t) for t in texts]
+    ranked = sorted(collections.Counter(w for ws in tokens for w in ws).items(), key=lambda x: (-x[1], x[0]))
+    words, counts = [w for w, _ in ranked], [c for _, c in ranked]
+    model = lm_scoring.initial(words, counts, {})
+    class_n, word_n = lm_scoring.tallies(model, words, counts, spark.createDataFrame([(t,) for t in texts], "text string"))
+    wanted_c, wanted_w = np.zeros_like(class_n), np.zeros_like(word_n)
+    cls, place, _ = model.outcomes(words, np.array(counts, float), np.arange(len(words)))
+    at = {w: i for i, w in enumerate(words)}
+    for ws in tokens:
+        features = lm_scoring.contexts(np.array([lm_scoring.word_hash(w) for w in ws], np.uint32), np.zeros(len(ws), np.int64))
+        for i, w in enumerate(ws):
+            c, p = cls[at[w]], place[at[w]]
+            for row in lm_scoring._rows(features[:, i], lm_scoring.CLASS_ROWS):
+                wanted_c[row, c] += 1
+            for row in lm_scoring._rows(features[:, i], lm_scoring.WORD_ROWS, c + 1):
+                wanted_w[row, p] += 1
+    assert class_n.sum() == word_n.sum() == 3 * sum(map(len, tokens))
+    assert (class_n == wanted_c).all() and (word_n == wanted_w).all()
+
+
 def test_lines_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     vocabulary = [f"word{i}" for i in range(300)]
