@@ -25,15 +25,21 @@ FIELD_ORDER = {f: i for _, fields in DATASETS.values() for i, f in enumerate(fie
 INTS = {"n_nationkey", "n_regionkey", "r_regionkey", "c_custkey", "s_suppkey", "s_nationkey", "p_partkey", "p_size", "o_custkey", "l_linenumber"}
 
 
-def cells(spark, sf_dir):
-    """The driver tables in long form; turns of conversations are one dataset more, of low importance by rule."""
-    parts = [rules.long_form(table(spark, sf_dir, t), F.lit(t), F.col(idx), list(fields)) for t, (idx, fields) in DATASETS.items()]
+def rows(spark, sf_dir):
+    """The driver tables in wide form with sizes; turns of conversations are one dataset more, of low importance by rule."""
+    sized = lambda df, dataset, idx, fields: encoding.with_pairs(rules.wide_form(df, F.lit(dataset), idx, fields), fields)
+    parts = [sized(table(spark, sf_dir, t), t, F.col(idx), list(fields)) for t, (idx, fields) in DATASETS.items()]
     turns = numbered(table(spark, sf_dir, "conversations"), [], ["conv_id", "turn"], F.floor(F.col("conv_id") / 1000))
     turns = turns.withColumn("importance", F.when(F.col("turn") < 0, "high").otherwise("low"))
-    parts.append(rules.long_form(turns, F.lit("conversations"), F.col("position") - 1, ["role", "text", "importance"]))
+    parts.append(sized(turns, "conversations", F.col("position") - 1, ["role", "text", "importance"]))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def cells(spark, sf_dir):
+    """rows() in long form."""
+    return rules.cells_of(rows(spark, sf_dir))
+
+
 def written_cells(spark, sf_dir):
     """cells() as a table, for what reads them more than once."""
     return written(cells(spark, sf_dir), "cells")
@@ -114,7 +120,7 @@ def dictionary_codes(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    return encoding.decide(cells(spark, sf_dir), FIELD_ORDER)
+    return encoding.decide_rows(rows(spark, sf_dir), FIELD_ORDER)
 
 
 KEYS, ORDER, COLUMNS = ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_orderpriority"]

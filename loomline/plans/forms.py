@@ -23,7 +23,7 @@ def round_trips(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    return encoding.decide(E.cells(spark, sf_dir), E.FIELD_ORDER)
+    return E.decisions(spark, sf_dir)
 
 
 def decision_classes(spark, sf_dir):

@@ -96,6 +96,34 @@ def test_policy_keeps_noise_raw_and_takes_rules(spark):
     assert got["noise"]["failed_field"] == "message"
 
 
+def test_row_sizes_meet_rows_before_without_gathering(spark, monkeypatch):
+    """Rows across bucket borders and gaps, nulls too; no aggregate sorts all cells."""
+    monkeypatch.setattr(encoding, "BUCKET_ROWS", 4)
+    values = [(0, "a", 1), (1, "a", 1), (3, "a", 2), (4, "a", 2), (5, None, 2), (13, None, 2), (14, 'q"\u00e9\U0001f600', 3), (15, "a", 3), (16, "a", 3)]
+    df = spark.createDataFrame(values, "i int, t string, n int")
+    wide = rules.wide_form(df, F.lit("d"), F.col("i"), ["t", "n"])
+    sizes = encoding.wide_form_sizes(encoding.with_pairs(wide, ["t", "n"]))
+    size = lambda x: len(json.dumps(x, separators=(",", ":")))
+    plain = [{"t": t, "n": n} for _, t, n in values]
+    deltas = [{k: v for k, v in row.items() if i == 0 or plain[i - 1][k] != v} for i, row in enumerate(plain)]
+    wanted = (size(plain), size({"m": "transform", "o": plain[0], "d": deltas[1:]}))
+    for got in (sizes.first(), encoding.row_form_sizes(rules.cells_of(wide)).first()):
+        assert (got["n"], got["raw_size"], got["transform_size"]) == (len(values), *wanted)
+    assert "SortAggregate" not in sizes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_whose_head_breaks_all_rules_are_not_checked(spark, monkeypatch):
+    """Only columns that may still follow a rule meet their candidates; a late break still counts."""
+    tables, plain = {}, rules.written
+    monkeypatch.setattr(rules, "written", lambda df, name: tables.setdefault(name, plain(df, name)))
+    rows = [(i, f"x{i * i % 97}", i, f"n{i:03d}" if i < 150 else "late", i % 20) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, a string, b int, c string, d int")
+    got = {r["field"]: r["type"] for r in rules.discover(rules.long_form(df, F.lit("d"), F.col("i"), ["a", "b", "c", "d"])).collect()}
+    assert got == {"a": None, "b": "linear", "c": None, "d": "cycle"}
+    heads = {r["field"]: (r["may_linear"], r["may_template"], r["periods"]) for r in tables["heads"].collect()}
+    assert heads == {"a": (False, False, []), "b": (True, False, []), "c": (False, True, []), "d": (False, False, [20])}
+
+
 def test_newest_takes_the_later_row_among_equal_times(spark):
     df = spark.createDataFrame([("t", 1, 0, "a"), ("t", 1, 1, "b"), ("t", 0, 2, "c")], "topic string, ts int, ord int, memory_value string")
     assert df.groupBy("topic").agg(packets.newest(F.col("memory_value"), ["ts", "ord"]).alias("v")).first()["v"] == "b"
