@@ -80,10 +80,13 @@ def word_ranks(docs: DataFrame) -> Column:
     """A constant array of the rarity ranks of the hash buckets of words, from what stands between spaces and line breaks in all texts."""
     n = 1 << RANK_BITS
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    found = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).count().collect()  # at most 2 ** RANK_BITS rows
+    # four buckets a row: few groups stay in the fast part of the aggregation, and fewer rows are shuffled
+    bucket = words.select(F.xxhash64("w").bitwiseAND(F.lit(n - 1)).cast("int").alias("b")).select(F.shiftright("b", 2).alias("row"), F.col("b").bitwiseAND(F.lit(3)).alias("i"))
+    found = bucket.groupBy("row").agg(*[F.count(F.when(F.col("i") == i, F.lit(1))).alias(f"n{i}") for i in range(4)]).collect()  # at most 2 ** RANK_BITS / 4 rows
     ranks = ["0"] * n
     for r in found:
-        ranks[r["b"]] = str(rank_of_count(r["count"]))
+        for i in range(4):
+            ranks[4 * r["row"] + i] = str(rank_of_count(r[f"n{i}"]))
     return F.expr(f"cast(split('{','.join(ranks)}', ',') as array<bigint>)")
 
 
@@ -91,7 +94,8 @@ def word_set(line: Column, ranks: Column) -> Column:
     """The line's distinct words as longs, rare ones first: rank in the upper bits, hash below."""
 
     def key(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(F.lit((1 << RANK_BITS) - 1)).cast("int"))
+        # never null, so that the array is sorted as plain longs
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit((1 << RANK_BITS) - 1))), F.lit(0).cast("long"))
         return F.shiftleft(rank, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     hashes = F.transform(F.array_remove(plain_words(line), ""), lambda w: F.xxhash64(w))
@@ -160,23 +164,41 @@ def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
     return rows.select(F.col("meet").alias(f"{s}_meet"), F.col("word").alias(f"{s}_word"), *[F.col(c).alias(f"{s}_{c}") for c in ROW], *more)
 
 
-def _fits() -> Column:
-    """For rows a and b that meet: b is of another line, comes first and may match."""
-    same_word = F.col("a_word").bitwiseXOR(F.col("b_word")) == 0  # not an equality, which Spark would shuffle by
-    order = (F.col("b_k") <= F.col("a_k")) & (F.col("a_line_key") != F.col("b_line_key")) & same_word
-    return order & may_match(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+def _ab_may_match() -> Column:
+    return may_match(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+
+
+def is_early() -> Column:
+    """Whether a row's place is among those where a set may first meet a set of its size or a larger one.
+
+    They share MORE / (MORE + OF) of both sizes at least, so all but (OF - MORE) / (MORE + OF) of the smaller set's words, from the first shared one on.
+    """
+    return F.col("pos") * (MORE + OF) <= F.col("n") * (OF - MORE)
 
 
 def met_rows(rows: DataFrame) -> DataFrame:
-    """(meet, word, a_line_key, ..., crowd, b_line_key), in one pass over the prefix rows: pairs of small groups, and each row of a crowd once, without a partner."""
-    seen = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("meet"))).withColumn("crowd", (F.col("size") > CROWD) | is_hot(F.col("word")))
-    seen = seen.where(F.col("crowd") | (F.col("size") > 1)).drop("size")
+    """(meet, word, a_line_key, ..., crowd, b_line_key), in one pass over the prefix rows: pairs of small groups, and each row of a crowd once, without a partner.
+
+    A pair is found from its larger set (a) at an early word of the smaller one (b), whichever of them comes first.
+    """
+    early = F.when(is_early(), F.lit(1))
+    seen = rows.withColumn("size", F.count(early).over(Window.partitionBy("meet"))).withColumn("crowd", (F.col("size") > CROWD) | is_hot(F.col("word")))
     # both sides read one shuffle and stay sorted by meet; crowds have no rows on the right
-    left, right = _side(seen, "a", "crowd"), _side(seen.where(~F.col("crowd")), "b")
-    joined = left.join(right, (F.col("a_meet") == F.col("b_meet")) & _fits(), "left").where(F.col("crowd") | F.col("b_line_key").isNotNull())
+    left = _side(seen.where(F.col("crowd") | (F.col("size") > F.coalesce(early, F.lit(0)))), "a", "crowd")
+    right = _side(seen.where(is_early() & ~F.col("crowd")), "b")
+    # ties go by k too: a side that does not read it would not share the other's shuffle
+    tie = (F.col("a_k") > F.col("b_k")) | ((F.col("a_k") == F.col("b_k")) & (F.col("a_line_key") > F.col("b_line_key")))
+    larger = (F.col("a_n") > F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & tie)
+    # a group that is no crowd is of one word
+    joined = left.join(right, (F.col("a_meet") == F.col("b_meet")) & larger & _ab_may_match(), "left").where(F.col("crowd") | F.col("b_line_key").isNotNull())
     return joined.select("a_meet", "a_word", *[f"a_{c}" for c in ROW], "crowd", "b_line_key")
 
 
+def _pair(a: Column, b: Column) -> list[Column]:
+    """Two lines as columns a and b, the same whichever is named first."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def leader_pairs(crowds: DataFrame) -> DataFrame:
     """(a, b): the rows of crowds with those of their LEADERS that come first and may match."""
     over, out, free = Window.partitionBy("meet"), crowds, F.lit(True)
@@ -188,7 +210,7 @@ def leader_pairs(crowds: DataFrame) -> DataFrame:
         out = out.withColumn(f"near{i}", F.coalesce(near, F.lit(False)))
         free = F.col("free") & ~F.col(f"near{i}") & (first["line_key"] != F.col("line_key"))
     tried = F.array_compact(F.array(*[F.when(F.col(f"near{i}"), F.col(f"first{i}.line_key")) for i in range(LEADERS)]))
-    return out.select(F.col("line_key").alias("a"), F.explode(tried).alias("b")).distinct()
+    return out.select("line_key", F.explode(tried).alias("leader")).select(*_pair(F.col("line_key"), F.col("leader"))).distinct()
 
 
 def crowd_pairs(asking: DataFrame, crowds: DataFrame) -> DataFrame:
@@ -196,11 +218,13 @@ def crowd_pairs(asking: DataFrame, crowds: DataFrame) -> DataFrame:
     word = F.col("word")
     meets = F.when(is_hot(word), F.transform(F.sequence(F.lit(0), parts_of(word) - 1), lambda i: _meet(word, i))).otherwise(F.array("meet"))
     left, right = _side(asking.withColumn("meet", F.explode(meets)), "a"), _side(crowds, "b")
-    return left.join(right, (F.col("a_meet") == F.col("b_meet")) & _fits()).select(F.col("a_line_key").alias("a"), F.col("b_line_key").alias("b")).distinct()
+    same_word = F.col("a_word").bitwiseXOR(F.col("b_word")) == 0  # not an equality, which Spark would shuffle by
+    fits = (F.col("b_k") <= F.col("a_k")) & (F.col("a_line_key") != F.col("b_line_key")) & same_word & _ab_may_match()
+    return left.join(right, (F.col("a_meet") == F.col("b_meet")) & fits).select(*_pair(F.col("a_line_key"), F.col("b_line_key"))).distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(a) of the pairs whose sets are similar and whose b comes first. Only documents that hold a line of a pair are cut into lines again."""
+    """(a): the later lines of the pairs whose sets are similar. Only documents that hold a line of a pair are cut into lines again."""
     keys = pairs.select(F.col("a").alias("line_key")).union(pairs.select("b")).distinct()
     places = stored(keys.join(firsts, "line_key").select("line_key", "f"), "places")
     at = places.select("line_key", F.col("f.k").alias("k"), F.col("f.h").alias("h"), F.col("f.line_no").alias("line_no"))
@@ -209,9 +233,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, ranks: Colum
     texts = lines_of(holders).join(at, ["line_key", "k", "h", "line_no"]).dropDuplicates(["line_key"])
     sets = stored(texts.select("line_key", F.struct("k", "h", "line_no").alias("f"), word_set(F.col("line"), ranks).alias("words")), "sets")
     side = lambda c: sets.select(F.col("line_key").alias(c), F.col("f").alias(f"f{c}"), F.col("words").alias(f"w{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("fb") < F.col("fa"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    found = stored(both.where(common / (F.size("wa") + F.size("wb") - common) >= THRESHOLD).select("a").distinct(), "verified")
+    later = F.when(F.col("fb") < F.col("fa"), F.col("a")).otherwise(F.col("b"))
+    found = stored(both.where(common / (F.size("wa") + F.size("wb") - common) >= THRESHOLD).select(later.alias("a")).distinct(), "verified")
     discard(places), discard(sets)
     return found
 
@@ -232,7 +257,7 @@ def matched_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataF
     docs = docs.select("doc_id", "text")
     ranks = word_ranks(docs)
     met = stored(met_rows(prefixes(first_occurrences(lines, firsts), ranks)), "met")
-    plain = met.where("b_line_key IS NOT NULL").select(F.col("a_line_key").alias("a"), F.col("b_line_key").alias("b"))
+    plain = met.where("b_line_key IS NOT NULL").select(*_pair(F.col("a_line_key"), F.col("b_line_key")))
     crowds = met.where("crowd").select(*[F.col(f"a_{c}").alias(c) for c in ("meet", "word", *ROW)])
     pairs = stored(plain.union(leader_pairs(crowds)).distinct(), "pairs")
     done = _verified(docs, pairs, firsts, ranks)
@@ -255,11 +280,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def without(text: Column, removed: Column) -> Column:
     """The text without the lines of the given sorted numbers, in one walk over its lines."""
-    lines = F.split(text, "\n", -1)
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(removed, i - 1) + 1)
-    stop = lambda i: F.coalesce(F.get(removed, i), F.size(lines))
-    runs = F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: F.slice(lines, start(i) + 1, stop(i) - start(i)))
-    return F.array_join(F.flatten(runs), "\n")
+    stop = lambda lines, i: F.coalesce(F.get(removed, i), F.size(lines))
+    runs = lambda lines: F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: F.slice(lines, start(i) + 1, stop(lines, i) - start(i)))
+    # the lines are a lambda's argument, so that the text is not split again for each run
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.flatten(runs(lines)), "\n")), F.lit(0))
 
 
 def dedup(docs: DataFrame, length: str | None = None, count: str | None = None) -> DataFrame:

@@ -668,3 +668,30 @@ def test_pipeline(spark, sf_dir, texts):
     assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in mixing.calibrated(unique).where("sampled").collect()}
     packed = pipeline.best_fit_packing(spark, mixed, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()}
+
+
+def test_line_pairs_from_one_shuffle(spark):
+    """Small groups are paired over one shuffle, from the larger set at early words of the smaller one, and no similar pair is lost."""
+    rng = np.random.default_rng(5)
+    base = [[f"word{rng.integers(60)}x" for _ in range(int(rng.integers(4, 90)))] for _ in range(60)]
+    near = [b[: max(4, len(b) - int(rng.integers(0, 12)))] for b in base for _ in range(3)]
+    texts = sorted({" ".join(w) for w in base + near})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = line_dedup.prefixes(line_dedup.lines_of(docs), line_dedup.word_ranks(docs))
+    met = line_dedup.met_rows(rows)
+    found = met.collect()
+    assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
+    found = [(r["a_line_key"], r["b_line_key"], r["a_n"]) for r in found if r["b_line_key"] is not None]
+    key = {r["line"]: r["line_key"] for r in line_dedup.lines_of(docs).collect()}
+    sets = {key[t]: set(t.split()) for t in texts if t in key}
+    assert found and all(len(sets[r[0]]) == r[2] >= len(sets[r[1]]) for r in found)
+    wanted = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= line_dedup.THRESHOLD * len(sets[a] | sets[b])}
+    assert len(wanted) > 100 and wanted <= {frozenset(r[:2]) for r in found}
+
+
+def test_text_is_split_once_for_all_runs(spark):
+    """A document that loses many lines costs in proportion to its text: the text is no part of the work for a run of lines."""
+    df = spark.createDataFrame([("\n".join(map(str, range(9))), [0, 3, 4, 8])], "text string, removed array<int>")
+    out = df.select(line_dedup.without(F.col("text"), F.col("removed")).alias("t"))
+    assert out.first()[0] == "1\n2\n5\n6\n7"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
